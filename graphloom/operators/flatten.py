@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.skew import spread
+
 #: Schema of each table's own fields.
 TABLES = {
     "feature": "feature_id string, label string, description string, trigger string, trigger_description string, confidence string, confidence_reason string",
@@ -133,7 +135,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tagged(df: DataFrame, id_column: str = "raw_id", text_column: str = "payload") -> DataFrame:
     """The tagged rows of all payloads: tag, raw_id, pk, parent_pk, parent_pos, child_pos, payload."""
-    return df.select(F.col(id_column).cast("bigint"), F.col(text_column)).where(F.col(text_column).isNotNull()).mapInArrow(_batches, _DDL)
+    return spread(df.select(F.col(id_column).cast("bigint"), F.col(text_column)).where(F.col(text_column).isNotNull())).mapInArrow(_batches, _DDL)
 
 
 def write_tables(rows: DataFrame, path: str) -> None:

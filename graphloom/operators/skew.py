@@ -74,3 +74,12 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], value: str, out:
     joined = rows.join(compact, same, "left")
     near = F.coalesce(F.col("__near"), F.col("__over"))
     return joined.withColumn(out, near["v"]).select(*df.columns, out)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its scan has fewer; else df as it is, without a shuffle.
+
+    For rows that long Python work follows: one small file would keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
