@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, docpairs, nl_in_code, packing
+from graphloom.llm import bpe, docpairs, nl_in_code, packing, residue
 from graphloom.sources import table
 
 
@@ -50,9 +50,18 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), table(spark, d, "token_budgets"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.cases(table(spark, d, "documents"))
+
+
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that stay."""
+    return residue.without_cases(table(spark, d, "documents")).select("doc_id")
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_shares": p4_shares, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip,
-    "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_kept": p9_kept,
 }
 
 ORACLES = {
