@@ -83,3 +83,22 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank") -> DataFrame:
+    """df with `out`: 1, 2, ... within each group of keys by order, which must leave no ties.
+
+    Rows are range-partitioned by group and order, numbered in their partition, and moved by the counts of the partitions
+    before: a group of any size is numbered without one task holding it.
+    """
+    by = [F.col(k).asc() for k in keys] + order
+    placed = df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
+    local = placed.withColumn("__local", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order)))
+    counts = placed.groupBy("__part", *keys).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k_{k}") for k in keys], F.coalesce(before, F.lit(0)).alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    joined = local.join(offsets, same)
+    return joined.select(*df.columns, (F.col("__local") + F.col("__before")).cast("bigint").alias(out))
