@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import paths
 from graphloom.operators import diff, findings, graph, guidance, membrane, scope, timeline, topology, validate, views
+from graphloom.operators.skew import spread
 from graphloom.plans.bridge import view as V
 from graphloom.plans.reference_queries import _GRAPH, _ND, _UP, NOW, ORACLES, QUERIES, P, VER, _base, _edges, _graph, _nodes, _raised, query
+from graphloom.sources import documents, tree
+from graphloom.streaming import logs
 
 __all__ = ["ORACLES", "QUERIES"]
 OUT = ["output_id"]
@@ -576,3 +580,83 @@ def q11(s, d):
 @query("q12_summary_line", "features", "SELECT version_id, count(*) || ' features, ' || count(*) FILTER (WHERE confidence = 'low') || ' low, ' || count(*) FILTER (WHERE confidence IS NULL) || ' unassessed' AS line FROM features GROUP BY 1")
 def q12(s, d):
     return views.summary_line(V(s, d, "features"))
+
+
+# --- sources and streams ---
+
+
+@query("src02_language", "", """SELECT path, CASE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.js' THEN 'javascript' WHEN '.java' THEN 'java' WHEN '.go' THEN 'go' WHEN '.rs' THEN 'rust' WHEN '.cs' THEN 'csharp' END AS language, count(*) AS n FROM source_files GROUP BY 1, 2""")
+def src02(s, d):
+    return _base(s, d, "source_files").groupBy("path", paths.language_of(F.col("path")).alias("language")).agg(F.count("*").alias("n"))
+
+
+@query("src03_ignored", "", "SELECT path FROM source_files WHERE NOT regexp_matches(path, '(^|/)tests/') AND NOT regexp_matches(path, '(^|/)[^/]*[.]rs$')")
+def src03(s, d):
+    return tree.kept(_base(s, d, "source_files").select("path"), ["tests/", "*.rs"])
+
+
+@query("src05_python_nodes")
+def src05(s, d):
+    files = _base(s, d, "source_files").select("path", F.col("content").alias("text"), paths.language_of(F.col("path")).alias("language")).distinct()
+    return tree.nodes(spread(files)).groupBy("type", "error").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
+
+
+@query("e02_call_sites")
+def e02(s, d):
+    files = _base(s, d, "source_files").select("path", F.col("content").alias("text"), paths.language_of(F.col("path")).alias("language")).distinct()
+    return tree.call_sites(spread(files)).groupBy("method").agg(F.count("*").alias("n"), F.count("receiver").alias("n_received"))
+
+
+@query("e03_import_aliases")
+def e03(s, d):
+    files = _base(s, d, "source_files").select("path", F.col("content").alias("text"), paths.language_of(F.col("path")).alias("language")).distinct()
+    return tree.aliases(spread(files)).groupBy("alias", "original").agg(F.count("*").alias("n"))
+
+
+@query("src14_latest_version", "versions", "SELECT version_id, stamp FROM versions ORDER BY stamp DESC, version_id DESC LIMIT 1")
+def src14(s, d):
+    return documents.latest(V(s, d, "versions")).select("version_id", "stamp")
+
+
+@query("src15_structure_flags", "versions blocks", "SELECT version_id, version_id IN (SELECT version_id FROM blocks) AS has_structure FROM versions")
+def src15(s, d):
+    return documents.with_structure_flag(V(s, d, "versions").select("version_id"), V(s, d, "blocks"))
+
+
+@query("src16_deleted", "versions", "SELECT version_id FROM versions WHERE NOT coalesce(trigger = 'manual', false)")
+def src16(s, d):
+    versions = V(s, d, "versions")
+    return documents.without(versions, versions.where("trigger = 'manual'")).select("version_id")
+
+
+@query("src30_ledger", "", "SELECT event_type AS stage, max(ts) AS stamped_at, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS detail FROM events GROUP BY 1")
+def src30(s, d):
+    rows = _base(s, d, "events").select(F.col("event_type").alias("stage"), F.struct("ts", "event_id").alias("stamped_at"), F.col("event_id").alias("detail"))
+    return documents.ledger(rows).select("stage", F.col("stamped_at.ts").alias("stamped_at"), "detail")
+
+
+@query("st01_latest_by_key", "", "SELECT user_id, event_type, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY 1, 2")
+def st01(s, d):
+    return logs.latest_by_key(logs.rows_of(s, f"{d}/events.parquet"), ["user_id", "event_type"], ["ts", "event_id"], "value")
+
+
+@query("st02_hourly_counts", "", """SELECT "start", "start" + INTERVAL 1 HOUR AS "end", event_type, n FROM (SELECT date_trunc('hour', ts) AS "start", event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE "start" + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def st02(s, d):
+    rows = logs.finished(logs.windowed(logs.rows_of(s, f"{d}/events.parquet"), "ts", "1 hour", "1 hour", ["event_type"]))
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
+
+
+@query("st03_sessions", "", """SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM
+ (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def st03(s, d):
+    rows = logs.finished(logs.sessions(logs.rows_of(s, f"{d}/events.parquet"), "ts", "2 hours", "1 hour", "user_id"))
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
+
+
+@query("st04_escalations", "", """m AS (SELECT user_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) SELECT user_id AS doubt_id, CASE event_type WHEN 'view' THEN 'investigating' ELSE 'discovered' END AS from_state, ts AS since FROM m
+ WHERE event_type IN ('view', 'error') AND coalesce(nxt, (SELECT max(ts) - INTERVAL 1 HOUR FROM events)) - ts >= INTERVAL 12 HOUR""".replace("m AS", "WITH m AS", 1))
+def st04(s, d):
+    rows = logs.rows_of(s, f"{d}/events.parquet")
+    moves = rows.select(F.col("user_id").alias("doubt_id"), "ts", F.when(F.col("event_type") == "view", "investigating").when(F.col("event_type") == "error", "discovered").otherwise("fixed").alias("to_state"))
+    found = logs.finished(logs.escalations(moves, discovery_hours=12, investigation_hours=12))
+    return found.withColumn("since", F.col("since").cast("timestamp_ntz"))
