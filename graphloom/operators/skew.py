@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import checkpoint
+
 #: A group under this many rows always fits a task.
 HOT_ROWS = 500_000
 #: No more than this many groups can be hot, as each has more than this share of all rows.
@@ -85,20 +87,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank", hot_rows: int = HOT_ROWS) -> DataFrame:
     """df with `out`: 1, 2, ... within each group of keys by order, which must leave no ties.
 
-    Rows are range-partitioned by group and order, numbered in their partition, and moved by the counts of the partitions
-    before: a group of any size is numbered without one task holding it.
+    Groups that fit a task are numbered by a window. If one doesn't, or there are no keys, rows are range-partitioned by
+    group and order, numbered in their partition and written, and then moved by the counts of the partitions before: no
+    task holds a group. The numbers are written before they are counted, as a second run of the range partitioning may
+    draw other borders.
     """
-    by = [F.col(k).asc() for k in keys] + order
-    placed = df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
-    local = placed.withColumn("__local", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order)))
-    counts = placed.groupBy("__part", *keys).agg(F.count("*").alias("__n"))
+    if keys and hot_keys(df, keys, hot_rows) is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *[F.col(k).asc() for k in keys], *order).withColumn("__part", F.spark_partition_id())
+    local = checkpoint(placed.withColumn("__local", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order)).cast("bigint")))
+    counts = local.groupBy("__part", *keys).agg(F.max("__local").alias("__n"))  # a row for each partition of a group
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k_{k}") for k in keys], F.coalesce(before, F.lit(0)).alias("__before"))
     same = F.col("__part") == F.col("__p")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    joined = local.join(offsets, same)
-    return joined.select(*df.columns, (F.col("__local") + F.col("__before")).cast("bigint").alias(out))
+    return local.join(offsets, same).select(*df.columns, (F.col("__local") + F.col("__before")).alias(out))
