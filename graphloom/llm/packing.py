@@ -86,11 +86,10 @@ def fill(capacity: int, classes: dict[int, int]) -> tuple[list[tuple[int, int, i
 
 def _items(counts: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:
     """The pieces of every document for every capacity: budget_id, doc_id, piece_no, start, n_tokens, whole (fills a container)."""
-    spark = counts.sparkSession
-    budgets = F.broadcast(spark.createDataFrame(capacities, "budget_id string, capacity bigint"))
+    budgets = F.array(*[F.struct(F.lit(b).alias("budget_id"), F.lit(c).cast("bigint").alias("capacity")) for b, c in capacities])
     n, c = F.col("n_tokens"), F.col("capacity")
-    pieces = F.greatest(F.ceil(n / c).cast("bigint"), F.lit(1).cast("bigint"))
-    cut = counts.join(budgets).withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
+    pieces = F.greatest(F.floor((n + c - 1) / c).cast("bigint"), F.lit(1).cast("bigint"))
+    cut = counts.select("doc_id", "n_tokens", F.inline(budgets)).withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
     cut = cut.withColumn("start", F.col("piece_no") * c)
     size = F.least(n - F.col("start"), c)
     return cut.select("budget_id", "doc_id", "piece_no", "start", size.alias("n_tokens"), ((n > c) & (size == c)).alias("whole"))
@@ -107,6 +106,8 @@ def packed(counts: DataFrame, budgets: DataFrame, hot_rows: int = HOT_ROWS) -> D
     if len(rows) > MOST_BUDGETS:
         raise ValueError(f"more than {MOST_BUDGETS} budgets")
     capacities = [(b, c) for b, c in rows]
+    if not capacities:
+        return spark.createDataFrame([], f"budget_id string, doc_id {dict(counts.dtypes)['doc_id']}, piece_no bigint, start bigint, n_tokens bigint, container_id string")
     columns = ["budget_id", "doc_id", "piece_no", "start", "n_tokens"]
     items = _items(counts, capacities)
     whole = items.where("whole").select(*columns, F.concat(F.lit("f-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece_no").cast("string")).alias("container_id"))
