@@ -48,6 +48,7 @@ _SCHEMA = pa.schema([
 ])
 _DDL = "tag string, raw_id bigint, pk string, parent_pk string, parent_pos bigint, child_pos bigint, payload string"
 _DECODER = json.JSONDecoder()
+_HALF = re.compile("[\ud800-\udfff]")
 _OPENING = re.compile(r"[{\[]\s*[\"{\[\]}]")
 
 
@@ -82,7 +83,7 @@ def record(text: str | None, depth: int = 0) -> dict | None:
 
 
 def _clean(value: str) -> str:
-    return value.encode("utf-8", "surrogatepass").decode("utf-8", "replace") if not value.isascii() else value
+    return value if value.isascii() else _HALF.sub("\N{REPLACEMENT CHARACTER}", value)
 
 
 def _as_text(value: object) -> str | None:
