@@ -4,8 +4,9 @@ One pattern for each language captures documentation, signature and balanced bod
 part of its match, so functions inside functions are not found; strings and comments are taken whole, so code within them
 isn't either. What the pattern captures is then filtered: documentation that is empty or trivial makes no pair.
 
-Defined cases: null and empty contents, and files of another or no known language, give no rows; an unclosed string,
-comment or body ends the search behind it no earlier than the text does; repeated files give repeated rows until made distinct;
+Defined cases: null and empty contents, and files of another or no known language, give no rows; an unclosed string or
+comment reaches to its line's or the text's end, a bracket without a partner counts as white space, so a function whose
+body doesn't end has none and is not found; repeated files give repeated rows until made distinct;
 columns that aren't named are not read.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from graphloom.llm.lexical import define, language_of
+from graphloom.llm.lexical import balanced, define, language_of
 from graphloom.operators.skew import spread
 
 #: Words that open blocks or expressions and never name a function.
@@ -109,7 +110,7 @@ _TAG = regex.compile(r"<!--.*?-->|</?[A-Za-z][^<>\n]*>", regex.S)
 _NAMING = [
     regex.compile(r"^\s*[@\\:](?:param|arg|argument|parameter|key|keyword|tparam|typeparam|property|prop|template)\b\s*(?:\{[^}\n]*\}\s*)?(?:[\w.<>\[\]|,]+\s+(?=[\w.$*]+\s*:))?\[?[\w.$*<>]+(?:=[^\]\s]*)?\]?\s*(?::|[-–—])?"),
     regex.compile(r"^\s*[@\\:](?:returns?|rtype|type|throws|raises?|exception|since|author|version|see|deprecated|override|inheritdoc)\b\s*(?:\{[^}\n]*\})?\s*:?(?:(?<=:)\s*[\w.\[\], |]+$|\s*[\w.]+\s*:?$)?", regex.I),
-    regex.compile(r"^\s*(?:[-*+•]\s*)?[`*_]*[\w.$*]+[`*_]*\s*(?:\([^()\n]*\)|\[[^\[\]\n]*\])?\s*(?::\s*[\w.\[\]]*)?(?:\s*[-–—])?\s*$"),
+    regex.compile(r"^\s*(?:[-*+•]\s*)?[`*_]*(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\w.$*])+[`*_]*\s*(?:\([^()\n]*\)|\[[^\[\]\n]*\])?\s*(?::\s*[\w.\[\]]*)?(?:\s*[-–—])?\s*$"),
 ]
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〆]")
 _WORD = regex.compile(r"(?!\d+\b)[\p{L}\p{N}_]+(?:['’\-.][\p{L}\p{N}_]+)*")
@@ -165,6 +166,7 @@ def is_trivial(text: str, name: str) -> bool:
 def functions(language: str, content: str) -> Iterator[tuple[str, int, str | None, list[str], str, str]]:
     """Of each function: name, line, documentation (None if trivial), parameters, kind and code."""
     line, at = 1, 0
+    content = balanced(language, content)
     for m in pattern(language).finditer(content):
         name = m.group("name")
         if name is None:
@@ -222,7 +224,7 @@ _DDL = "file_id bigint, path string, language string, name string, line_no bigin
 
 
 def _cleaned(text: str) -> str:
-    return text if text.isascii() else text.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
+    return text if text.isascii() else regex.sub("[\ud800-\udfff]", "\N{REPLACEMENT CHARACTER}", text)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

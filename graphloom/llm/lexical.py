@@ -55,7 +55,7 @@ def define(language: str) -> str:
     return rf"""(?(DEFINE)
 (?P<str>{string})(?P<com>{comment})
 (?P<paren>\({inner}\))(?P<brack>\[{inner}\])(?P<brace>\{{{inner}\}})
-(?P<angle><(?:[^<>(){{}};"'=\-]|=>?|->?|(?&angle)|(?&paren)|(?&str))*+>)
+(?P<angle><(?:[^<>(){{}};"'=\-]|=>?|->?|(?&angle)|(?&paren)|(?&brace)|(?&str)|')*+>)
 )"""
 
 
@@ -70,3 +70,47 @@ def language_of(language: str | None, path: str | None) -> str | None:
 def spans_pattern(language: str) -> regex.Pattern:
     """Finds comments (group c) and strings (group s), and skips all else."""
     return regex.compile(define(language) + r"(?P<c>(?&com))|(?P<s>(?&str))|\w++|(?s:.)")
+
+
+@cache
+def _brackets_pattern(language: str) -> regex.Pattern:
+    return regex.compile(define(language) + r"(?:(?&com)|(?&str)|[^()\[\]{}\"'`/\#@$bcruRUfFtTB]++|\w++|[^()\[\]{}])++|(?P<b>[()\[\]{}])")
+
+
+_SURE = 20_000
+
+
+def balanced(language: str, content: str) -> str:
+    """content with the brackets that have no partner blanked, so that no pattern follows one to the end of the text.
+
+    One pass; it is left out for short texts whose brackets add up.
+    """
+    if len(content) < _SURE and all(content.count(a) == content.count(b) for a, b in ("()", "[]", "{}")):
+        return content
+    closes = {")": "(", "]": "[", "}": "{"}
+    stack: list[tuple[str, int]] = []
+    open_of = dict.fromkeys("([{", 0)
+    alone: list[int] = []
+    for m in _brackets_pattern(language).finditer(content):
+        b = m.group("b")
+        if b is None:
+            continue
+        if b in open_of:
+            stack.append((b, m.start()))
+            open_of[b] += 1
+        elif open_of[closes[b]]:
+            while True:
+                top, at = stack.pop()
+                open_of[top] -= 1
+                if top == closes[b]:
+                    break
+                alone.append(at)
+        else:
+            alone.append(m.start())
+    alone += [at for _, at in stack]
+    if not alone:
+        return content
+    out = list(content)
+    for at in alone:
+        out[at] = " "
+    return "".join(out)
