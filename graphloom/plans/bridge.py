@@ -37,11 +37,13 @@ FROM (SELECT project_id, node_id, type, lead(node_id) OVER (PARTITION BY project
 FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
     "trade_nodes": """SELECT file || '::' || s_name AS node_id, s_name AS name, file, 'class' AS type, s_suppkey * 2 AS node_ord FROM {supplier} JOIN [places] ON s_nationkey = n_nationkey
 UNION ALL SELECT file || '::' || c_name, c_name, file, 'function', c_custkey * 2 + 1 FROM {customer} JOIN [places] ON c_nationkey = n_nationkey""",
-    "trade_edges": """SELECT sp.file || '::' || s_name AS from_node, cp.file || '::' || c_name AS to_node, CASE WHEN l_linestatus = 'O' THEN 'calls' ELSE 'imports' END AS type,
+    # The names are put together once for each supplier and customer, before they meet the line items.
+    "sup": """SELECT s_suppkey, file || '::' || s_name AS from_node FROM {supplier} JOIN [places] ON s_nationkey = n_nationkey""",
+    "cus": """SELECT c_custkey, file || '::' || c_name AS to_node FROM {customer} JOIN [places] ON c_nationkey = n_nationkey""",
+    "trade_edges": """SELECT from_node, to_node, CASE WHEN l_linestatus = 'O' THEN 'calls' ELSE 'imports' END AS type,
   CASE l_returnflag WHEN 'R' THEN 'skipped_dynamic' WHEN 'A' THEN 'name_match_ambiguous' ELSE (CASE WHEN l_linestatus = 'O' THEN 'scope_rule' ELSE 'import_alias' END) END AS resolution,
   o_custkey, l_suppkey, l_orderkey
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN [places] sp ON s_nationkey = sp.n_nationkey
-JOIN {customer} ON o_custkey = c_custkey JOIN [places] cp ON c_nationkey = cp.n_nationkey""",
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN [sup] ON l_suppkey = s_suppkey JOIN [cus] ON o_custkey = c_custkey""",
     # Parts as definitions of a name in a file of a package, line items as calls of a name.
     "definitions": """SELECT p_partkey AS node_ord, p_name AS name, p_brand AS file, p_type AS package, 'p/' || CAST(p_partkey AS {text}) AS node_id FROM {part}""",
     "calls": """SELECT DISTINCT l_suppkey AS caller, p_name AS name, 'Brand#' || CAST(l_suppkey % 25 AS {text}) AS file, p_type AS package FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
