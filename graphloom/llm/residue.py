@@ -68,10 +68,10 @@ _ASK = (
 _ASK_END = r"einfügen|eintragen|ergänzen|ausfüllen|einsetzen|eingeben|here|aquí|aqui|ici|hier|здесь|入力|記入|填入|填寫|填写"
 PLACEHOLDERS = regex.compile(
     rf"""\{{\{{[^{{}}\n]{{0,120}}\}}\}}|\{{%[^%\n]{{0,120}}%\}}|<%[=\-]?[^%\n]{{0,120}}%>|[$\#]\{{[^{{}}\n]{{1,120}}\}}|%\([A-Za-z_][\w.]*\)[sdifrx]
-|(?<![\w%])%[A-Z][A-Z0-9_]{{1,60}}%(?![\w%])|@@[A-Za-z_][\w.\-]*@@|(?<!\w)__[A-Z][A-Z0-9_]*__(?!\w)|(?<!<)<<\s*[\p{{L}}_][\w .\-]{{0,60}}>>(?!>)
-|(?<![\w$\#/\\{{}}^_=.\-])\{{(?:[\p{{L}}_][\w.]*|\d{{1,2}})\}}(?![{{}}])
+|(?<![A-Za-z0-9_%])%[A-Z][A-Z0-9_]{{1,60}}%(?![A-Za-z0-9_%])|(?<![A-Za-z0-9_$])\$[A-Z][A-Z0-9_]{{1,60}}\$(?![A-Za-z0-9_$])|@@[A-Za-z_][A-Za-z0-9_.\-]*@@|(?<![A-Za-z0-9_])__[A-Z][A-Z0-9_]*__(?![A-Za-z0-9_])|(?<!<)<<\s*[\p{{L}}_][\w .\-]{{0,60}}>>(?!>)
+|(?<![A-Za-z0-9$\#/\\{{}}^_=.\-])\{{(?:[\p{{L}}_][\w.]*|\d{{1,2}})\}}(?![{{}}])
 |\[\[\s*(?i:{_ASK})[^\[\]\n]{{0,120}}\]\]|\[\s*(?i:{_ASK})\b[^\[\]\n]{{0,120}}\](?!\()|\[[^\[\]\n]{{1,100}}\s(?i:{_ASK_END})\s*\](?!\()
-|(?<![\[\w])\[(?!OBJECT\s)[A-Z][A-Z_]*(?:\s[A-Z_]+)+\](?!\()|<\s*(?i:{_ASK})(?=[\s_\-])[^<>\n]{{0,100}}>|<[^<>\n/]{{1,100}}\s(?i:{_ASK_END})\s*>
+|(?<![\[A-Za-z0-9_])\[(?!OBJECT\s)[A-Z][A-Z_]*(?:\s[A-Z_]+)+\](?!\()|<\s*(?i:{_ASK})(?=[\s_\-])[^<>\n]{{0,100}}>|<[^<>\n/]{{1,100}}\s(?i:{_ASK_END})\s*>
 |[（［【〈＜]\s*(?:請|请)?(?:在)?(?:此處|此处|這裡|这里|填入|填寫|填写|輸入|输入|插入|ここに)[^（）［］【】〈〉\n]{{0,60}}[）］】〉＞]|[（［【〈＜][^（）［］【】〈〉\n]{{1,40}}(?:を入力|を記入|を挿入|填入|填寫|填写)[^（）［］【】〈〉\n]{{0,20}}[）］】〉＞]""",
     regex.X,
 )
@@ -187,9 +187,6 @@ def is_notice(text: str) -> bool:
     """Whether the document as a whole is an error message or page, or an access or script notice."""
     if _JSON_ERROR.match(text) and regex.search(r"\"(?:error|errors)\"\s*:", text, regex.I):
         return True
-    if "<" in text and _HTML_ERROR.search(text):
-        bare = regex.sub(r"<(title)>[^<]*</\1>|<[^>]+>", " ", text)
-        return len(bare.split()) < 80
     notices = hits(_lower(text))[False]
     matched = other = 0
     k = 0
@@ -202,7 +199,7 @@ def is_notice(text: str) -> bool:
             k += 1
         end = start + len(sentence)
         inside = [p for p in notices[k:] if p[0] < end] if k < len(notices) and notices[k][0] < end else []
-        if _TRACE.match(line) or _STATUS.match(line) or (_JSON_ERROR.match(line) and '"error' in line.lower()):
+        if _TRACE.match(line) or _STATUS.match(line) or (_JSON_ERROR.match(line) and '"error' in line.lower()) or ("<" in line and _HTML_ERROR.search(line)):
             matched += letters
             continue
         told = letters - sum(_letters(m.group()) for m in _IDS.finditer(line)) - sum(_letters(m.group()) for m in _ERROR_NUMBER.finditer(line))

@@ -4,15 +4,15 @@ from graphloom.llm import residue as r
 
 GOOD = "The region index keeps every parent block before the next version is written. It lists the entries of {}."
 CASES = [
-    *(GOOD.format(x) for x in ["{{ name }}", "{{name | title}}", "{% if x %}", "<%= x %>", "${user.name}", "#{x.y}", "%(name)s", "%NAME%", "@@NAME@@", "__NAME_HERE__", "[Insert name here]", "[BLOCK NAME]", "[TODO: add text]", "<your name here>", "<INSERT NAME>", "<<name>>", "{name}", "{0}", "[[fill in name]]", "[Beschreibung hier einfügen]", "<Name des Moduls eintragen>", "[вставьте описание]", "[inserir a descrição aqui]", "（此處填入名稱）", "【ここに説明を記入】"]),
+    *(GOOD.format(x) for x in ["{{ name }}", "{{name | title}}", "{% if x %}", "<%= x %>", "${user.name}", "#{x.y}", "%(name)s", "%NAME%", "$NAME$", "標記{0}讓", "は[LABEL NAME]です", "理%ENTRY%即", "為__REPORT_TREE__。", "は$NAME$です",  "@@NAME@@", "__NAME_HERE__", "[Insert name here]", "[BLOCK NAME]", "[TODO: add text]", "<your name here>", "<INSERT NAME>", "<<name>>", "{name}", "{0}", "[[fill in name]]", "[Beschreibung hier einfügen]", "<Name des Moduls eintragen>", "[вставьте описание]", "[inserir a descrição aqui]", "（此處填入名稱）", "【ここに説明を記入】"]),
     GOOD.format("it") + "\n\nLorem ipsum dolor sit amet consectetur.", "Sed veniam tempor labore dolore aliqua.", "xxxx xxxx xxx", "asdf asdf qwer asdf", "blah blah blah", "- Your text goes here.", "| a | b |\n|---|---|\n| {{ x }} | 1 |",
     "Hier steht später der Text.", "此處為範例文字，請自行替換。", "ここにテキストが入ります。",
     "404 Not Found\n\nThe requested path /a/b was not found on this server.", "Home | Search | Contact\n\n503 Service Unavailable\nRequest id: 1b2c3d4e\n\nWe are working on it and will be back soon.", "Please enable JavaScript to view this page.", '{"error": "timeout", "status": 504}',
-    "<html><head><title>Error</title></head><body><h1>Bad Request</h1><p>9c80850e</p></body></html>", "Traceback (most recent call last):\n  File \"a.py\", line 1, in b\nKeyError: 'x'", "java.lang.IllegalStateException: x\n\tat app.Main.run(Main.java:6)", "undefined", "[object Object]",
+    "<html><head><title>Error</title></head><body><h1>Bad Request</h1><p>9c80850e</p></body></html>", "Menu | Start\n\n<html><head><title>Error</title></head><body><h1>Bad Request</h1></body></html>\n\nGo back to the previous page. Check the address and try again.", "Traceback (most recent call last):\n  File \"a.py\", line 1, in b\nKeyError: 'x'", "java.lang.IllegalStateException: x\n\tat app.Main.run(Main.java:6)", "undefined", "[object Object]",
     "Zugriff verweigert. Bitte melden Sie sich an.", "系統忙碌中，請稍後再試。", "Для просмотра этой страницы включите JavaScript.", "PAGE NOT FOUND", "Error: ENOENT: no such file or directory, open '/a/b'",
 ]
 KEPT = [
-    None, "", " \n\t", GOOD.format("it"), *(GOOD.format(x) for x in ["`{{ name }}`", "“[Insert name here]”", "„{name}“", "「{{ x }}」", "the TODO comments", "`List<Scope>`", "[2025-03-14]", "(350 of 2569 nodes)", "[a link](http://x.y)", "__init__"]),
+    None, "", " \n\t", GOOD.format("it"), *(GOOD.format(x) for x in ["`{{ name }}`", "“[Insert name here]”", "„{name}“", "「{{ x }}」", "the TODO comments", "`List<Scope>`", "a cost of $5 or US$9",  "[2025-03-14]", "(350 of 2569 nodes)", "[a link](http://x.y)", "__init__"]),
     "```\n<h1>{{ x.y }}</h1>\n```\n\n" + GOOD.format("it"), "The session expired notice is now part of the sign-in feature and no longer of the error pages.", "The handler answers with 404 Not Found when the project is unknown, and two tests cover this case.",
     "Feature 404 in the old numbering is now called the archive view.", 'The new text of the notice is "Please enable JavaScript to view this page" and replaces the older wording.', "Old descriptions with the words `lorem ipsum` are rejected by the label check.",
     "Die Meldung „Seite nicht gefunden“ wurde für das Archiv neu formuliert.", "The retry rule was extended: a 503 from the scanner is tried three times before the doubt is opened.", "| rule | locale |\n|---|---|\n| slot | 787 |", "A" * 100_000, '{"name": "x"}', "Overview",
