@@ -34,11 +34,11 @@ FUNCTION_WORDS = {
     "en": "the a an of to in is are was were be been and or not no with without for from by on at as that this these those it its if unless until while when whenever because before after during so than then there which who whose what into over under between each every all any some one two can could will would should may must has have had do does did but only also more most other such our their his her you we they them i he she where how up out about off again once per does n't don't isn't",
     "de": "der die das den dem des ein eine einen einem einer eines und oder nicht kein keine mit ohne für von vom zum zur zu auf an am im in ist sind war waren wird werden wurde wurden hat haben als wenn falls weil bevor nachdem sobald damit dass ob auch nur noch schon aus bei beim bis durch über unter zwischen nach vor jede jeder jedes jeden alle allen dieser diese dieses diesen sich es er sie wir ihr man wie was wer wo sein seine ihre ihrer ihres",
     "fr": "le la les l' un une des de du d' et ou ne pas sans avec pour par sur sous dans en au aux est sont était être été a ont que qu' qui quoi dont où si afin lorsque lorsqu' quand puisque parce car avant après dès pendant depuis entre chaque tout toute toutes tous cette cet ce ces c' il elle ils elles on nous vous se s' son sa ses leur leurs même plus moins aussi mais donc ainsi n' j' y",
-    "es": "el la los las un una unos unas de del y e o u no ni con sin para por en al a es son era fue ser ha han que quien cuyo donde si cuando aunque porque antes después desde hasta mientras entre cada todo toda todos todas esta este estas estos esto ese esa eso se su sus lo le les nos más menos también pero ya muy como otra otro según sobre vez veces",
+    "es": "el la los las un una unos unas de del y no ni con sin para por en al a es son era fue ser ha han que quien cuyo donde si cuando aunque porque antes después desde hasta mientras entre cada todo toda todos todas esta este estas estos esto ese esa eso se su sus lo le les nos más menos también pero ya muy como otra otro según sobre vez veces",
     "pt": "o a os as um uma uns umas de do da dos das e ou não nem com sem para por pelo pela pelos pelas em no na nos nas ao aos à às é são era foi ser tem têm que quem cujo onde se quando quanto embora porque antes depois desde até enquanto entre cada todo toda todos todas esta este estas estes isto esse essa isso seu sua seus suas lhe mais menos também mas já muito como outra outro segundo sobre mesmo vez vezes",
 }
 #: Letters that mark a language, with the weight of a function word or a half.
-LETTERS = {"de": "äöüß", "fr": "èêëîïùûœæçàâô", "es": "ñ¿¡", "pt": "ãõ"}
+LETTERS = {"de": "äöüß", "fr": "èëîïùûœæ", "es": "ñ¿¡", "pt": "ãõ"}
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _WEIGHTS: dict[str, dict[str, float]] = {}
 for _k, _v in _SETS.items():
