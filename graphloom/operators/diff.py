@@ -101,6 +101,15 @@ def affected_features(owned: DataFrame, delta: DataFrame, keys: list[str]) -> Da
     return counts.withColumn("status", F.when(none, "inherited").otherwise("affected"))
 
 
+def incremental(before: DataFrame, now: DataFrame, owned: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """One delta and what follows from it: features affected, features that inherit, changes that no feature owns."""
+    delta = structure_delta(before, now, [*keys, "node_id"])
+    status = affected_features(owned, delta, keys)
+    return {
+        "delta": delta, "affected": status.where("status = 'affected'"), "inherited": status.where("status = 'inherited'"), "unmapped": unmapped_changes(owned, delta, keys),
+    }
+
+
 def unmapped_changes(owned: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """Changed nodes that no feature owns."""
     return delta.join(owned.select(*keys, "node_id").distinct(), [*keys, "node_id"], "left_anti")

@@ -24,7 +24,7 @@ def residue(edges: DataFrame, part: str) -> DataFrame:
         F.sum("n").alias("cardinality"), F.sum("n_any").alias("n_any"),
     )
     total = each.agg(F.sum("n_any").alias("n_all"))
-    return each.where("cardinality > 0").crossJoin(F.broadcast(total)).select("from_node", "methods", "cardinality", "n_all")  # total is one row
+    return each.where("cardinality > 0").select("from_node", "methods", "cardinality", total.scalar().alias("n_all"))
 
 
 def residue_counters(edges: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def graph_totals(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = No
     per_file = nodes.groupBy(*keys, "file", region_of(F.col("node_id")).alias("region")).agg(F.count("*").alias("n"))
     sums = per_file.groupBy(*keys).agg(F.countDistinct("file").alias("n_files"), F.sum("n").alias("n_nodes"), F.countDistinct("region").alias("n_regions"))
     counts = edges.groupBy(*keys).agg(F.count("*").alias("n_edges"))
-    joined = sums.join(counts, keys, "left") if keys else sums.crossJoin(counts)  # one row each
+    joined = sums.join(counts, keys, "left") if keys else sums.withColumn("n_edges", counts.scalar())
     return joined.withColumn("n_edges", F.coalesce("n_edges", F.lit(0).cast("bigint")))
 
 
@@ -98,7 +98,7 @@ def search(counted: DataFrame, query: str, limit: int | None = None) -> DataFram
     hits = counted.withColumn("in_name", F.contains(F.lower("name"), F.lit(q))).where(F.col("in_name") | F.contains(F.lower("node_id"), F.lit(q)))
     total = hits.agg(F.count("*").alias("n_hits"))
     best = hits.orderBy(F.col("in_name").desc(), F.col("in_degree").desc(), "node_id").limit(limit)
-    return best.crossJoin(F.broadcast(total))  # one row
+    return best.withColumn("n_hits", total.scalar())
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame, node_ids: DataFrame) -> DataFrame:

@@ -64,6 +64,29 @@ def receivers(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     return met.select(*calls.columns, F.coalesce("exact", "near").alias("target"))
 
 
+def extends_edges(classes: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Edges from classes (node_id, file, package, bases) to what their bases resolve to; a dotted base counts by its last part."""
+    sites = classes.select(F.col("node_id").alias("caller"), F.explode(F.transform("bases", lambda b: F.substring_index(b, ".", -1))).alias("name"), "file", "package").distinct()
+    return call_edges(resolve(sites, definitions)).withColumn("type", F.lit("extends"))
+
+
+def resolve_receivers(calls: DataFrame, definitions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Calls (caller, receiver, method, file) of a method: on self or this, on a class of the file, or on an imported one.
+
+    The first definition of the method in the call's file answers self and local classes, `receivers` imported ones.
+    """
+    here = _first(definitions.withColumnRenamed("name", "method"), ["method", "file"], "in_file")
+    local = definitions.select("file", F.col("name").alias("receiver"), F.lit(True).alias("local")).distinct()
+    met = calls.join(here, ["method", "file"], "left").join(local, ["file", "receiver"], "left")
+    imported = aliases.select("file", F.col("alias").alias("receiver"), "original")
+    met = met.join(imported, ["file", "receiver"], "left")
+    far = receivers(met.where(F.col("original").isNotNull()).select(F.col("original").alias("receiver"), "method").distinct(), definitions)
+    met = met.join(far.select(F.col("receiver").alias("original"), "method", F.col("target").alias("far")), ["original", "method"], "left")
+    own = F.col("receiver").isin("self", "this") | F.coalesce("local", F.lit(False))
+    how = F.when(own & F.col("in_file").isNotNull(), "scope_rule").when(F.col("far").isNotNull(), "import_alias")
+    return met.select(*calls.columns, F.when(how == "scope_rule", F.col("in_file")).when(how == "import_alias", F.col("far")).alias("target"), how.alias("resolution"))
+
+
 def call_edges(resolved: DataFrame) -> DataFrame:
     """Edges from callers to their targets, without those to themselves."""
     return resolved.where(F.col("target").isNotNull() & (F.col("caller").cast("string") != F.col("target"))).select(

@@ -38,7 +38,7 @@ def timelines(seen: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("n_versions"), F.count(F.when(_changed(), 1)).alias("n_changes"), F.count(F.when(F.col("seen_before") & drift, 1)).alias("n_drifts"),
     )
     latest = seen.groupBy(*keys).agg(F.max_by("version_id", order).alias("latest"))
-    joined = each.join(latest, keys) if keys else each.crossJoin(F.broadcast(latest))  # one row without keys
+    joined = each.join(latest, keys) if keys else each.withColumn("latest", latest.scalar())
     return joined.withColumn("state", F.when(F.col("last_version") == F.col("latest"), "active").otherwise("removed")).drop("latest")
 
 

@@ -53,7 +53,7 @@ def batches(found: DataFrame, keys: list[str] | None = None, most: int = MOST_BA
     sizes = found.where(~F.col("is_entry_point")).groupBy(*keys).agg(F.count("*").alias("n_rest")) if keys else found.where(~F.col("is_entry_point")).agg(F.count("*").alias("n_rest"))
     order = [F.col("in_degree").desc(), F.col("node_ord").asc(), F.col("node_id").asc()]
     rest = ranked(found.where(~F.col("is_entry_point")), keys, order, "place")
-    rest = rest.join(sizes, keys) if keys else rest.crossJoin(F.broadcast(sizes))  # sizes is then one row
+    rest = rest.join(sizes, keys) if keys else rest.withColumn("n_rest", sizes.scalar())
     size = F.greatest(F.ceil(F.col("n_rest") / (most - 1)), F.lit(1))
     batch = F.least(F.floor((F.col("place") - 1) / size) + 2, F.lit(most))
     return found.where("is_entry_point").withColumn("batch", F.lit(1).cast("bigint")).unionByName(

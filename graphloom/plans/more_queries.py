@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
-from graphloom.operators import diff, findings, graph, guidance, membrane, scope, timeline, topology, validate, views
+from graphloom.operators import diff, findings, graph, guidance, membrane, reports, resolve, scope, timeline, topology, validate, views
 from graphloom.operators.skew import spread
 from graphloom.plans.bridge import view as V
-from graphloom.plans.reference_queries import _GRAPH, _ND, _UP, NOW, ORACLES, QUERIES, P, VER, _base, _edges, _graph, _nodes, _raised, query
+from graphloom.plans.reference_queries import _GRAPH, _ND, _OWN, _SD, _UP, NOW, ORACLES, QUERIES, P, VER, _base, _graph, _nodes, _owned, _raised, _structures, query
 from graphloom.sources import documents, tree
 from graphloom.streaming import logs
 
@@ -70,7 +70,7 @@ def w05(s, d):
 def w06(s, d):
     one = V(s, d, "yearly").where("feature_id = '7'")
     latest = _yearly_versions(s, d).agg(F.max("version_id").alias("latest"))
-    rows = timeline.timelines(timeline.appearances(one, _yearly_versions(s, d), []), []).crossJoin(latest)
+    rows = timeline.timelines(timeline.appearances(one, _yearly_versions(s, d), []), []).withColumn("latest", latest.scalar())
     return rows.withColumn("state", F.when(F.col("last_version") == F.col("latest"), "active").otherwise("removed")).drop("latest")
 
 
@@ -660,3 +660,65 @@ def st04(s, d):
     moves = rows.select(F.col("user_id").alias("doubt_id"), "ts", F.when(F.col("event_type") == "view", "investigating").when(F.col("event_type") == "error", "discovered").otherwise("fixed").alias("to_state"))
     found = logs.finished(logs.escalations(moves, discovery_hours=12, investigation_hours=12))
     return found.withColumn("since", F.col("since").cast("timestamp_ntz"))
+
+
+# --- reports ---
+
+
+@query("e09_receiver_tiers")
+def e09(s, d):
+    files = _base(s, d, "source_files").select("path", F.col("content").alias("text"), paths.language_of(F.col("path")).alias("language")).distinct()
+    nodes = tree.nodes(spread(files)).where("error is null").withColumn("receiver", F.when(F.col("type") == "method", F.regexp_extract("node_id", r"([^.:]+)[.][^.]+$", 1)))
+    calls = tree.call_sites(spread(files)).where("receiver is not null").select("caller", "receiver", "method", "file").distinct()
+    found = resolve.resolve_receivers(calls, nodes.select("node_id", "name", "file", "node_ord", "receiver"), tree.aliases(spread(files)).select("file", "alias", "original"))
+    return found.groupBy("resolution").agg(F.count("*").alias("n"))
+
+
+@query("d17_incremental", "code_nodes l1_features", f"{_SD}, {_OWN}, st AS (SELECT o.project_id, feature_id, count(change) AS c FROM owned o LEFT JOIN delta USING (project_id, node_id) WHERE node_id IS NOT NULL GROUP BY 1, 2) SELECT 'delta' AS part, count(*) AS n FROM delta UNION ALL SELECT 'affected', count(*) FILTER (WHERE c > 0) FROM st UNION ALL SELECT 'inherited', count(*) FILTER (WHERE c = 0) FROM st UNION ALL SELECT 'unmapped', count(*) FROM delta x WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.project_id = x.project_id AND o.node_id = x.node_id)")
+def d17(s, d):
+    parts = diff.incremental(*_structures(s, d), _owned(s, d), P)
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+@query("o04_diff_view", "features relations pairs", f"{_ND}, ch AS (SELECT version_id, feature_id FROM met WHERE diff_state <> 'unchanged') SELECT version_id, from_feature, to_feature FROM relations r WHERE EXISTS (SELECT 1 FROM ch WHERE ch.version_id = r.version_id AND ch.feature_id = r.from_feature) AND EXISTS (SELECT 1 FROM ch WHERE ch.version_id = r.version_id AND ch.feature_id = r.to_feature)")
+def o04(s, d):
+    return reports.diff_view(_flags(s, d), V(s, d, "relations").select("version_id", "from_feature", "to_feature"), VER)[1]
+
+
+@query("o10_report_view", "features pairs", f"{_ND} SELECT m.version_id, m.feature_id, diff_state, coalesce(f.label, m.feature_id) AS label, CASE WHEN f.description IS NULL OR trim(f.description) = '' THEN '(missing)' ELSE f.description END AS summary FROM met m LEFT JOIN features f ON f.version_id = m.version_id AND f.feature_id = m.feature_id")
+def o10(s, d):
+    details = V(s, d, "features").select("version_id", "feature_id", "label", F.col("description").alias("summary"))
+    return reports.report_view(_nodes(s, d).select("version_id", "feature_id", "diff_state"), details, ["version_id", "feature_id"])
+
+
+@query("o18_mermaid_scope", "features pairs", f"{_SC} SELECT version_id, 'graph TD' || chr(10) || string_agg('  ' || feature_id || ':::' || scope_state, chr(10) ORDER BY '  ' || feature_id || ':::' || scope_state) AS text FROM sc GROUP BY 1")
+def o18(s, d):
+    return reports.mermaid_scope(_scoped(s, d), VER)
+
+
+@query("o19_serialised")
+def o19(s, d):
+    return reports.serialised(V(s, d, "versions").drop("made_at"), ["version_id"])
+
+
+@query("q06_latest_features", "features versions", "l AS (SELECT project_id, arg_max(version_id, struct_pack(a := made_at, b := version_id)) AS version_id FROM versions GROUP BY 1) SELECT DISTINCT l.project_id, feature_id FROM l JOIN features f ON f.version_id = l.version_id")
+def q06(s, d):
+    return reports.latest_features(V(s, d, "features"), V(s, d, "versions"), P)
+
+
+@query("q07_version_table", "versions", "SELECT left(version_id, 8) AS short_id, version_id, stamp, trigger, array_to_string(git_tags, ', ') AS tags, coalesce(label, '') AS label FROM versions")
+def q07(s, d):
+    return reports.version_table(V(s, d, "versions"))
+
+
+@query("q09_availability", "versions", "SELECT DISTINCT project_id, project_id IN (SELECT project_id FROM nodes) AS has_nodes, project_id IN (SELECT project_id FROM l1_outputs) AS has_outputs, project_id IN (SELECT project_id FROM documents) AS has_documents FROM versions")
+def q09(s, d):
+    parts = {"has_nodes": "nodes", "has_outputs": "l1_outputs", "has_documents": "documents"}
+    return reports.availability(V(s, d, "versions"), {k: _base(s, d, t) for k, t in parts.items()})
+
+
+@query("q15_feature_verdicts", "l1_features live_nodes code_edges", f"{_JUDGED} SELECT output_id, from_feature AS feature_id, CASE max(CASE verdict WHEN 'gap' THEN 3 WHEN 'undetermined' THEN 2 WHEN 'backed' THEN 1 ELSE 0 END) WHEN 3 THEN 'gap' WHEN 2 THEN 'undetermined' WHEN 1 THEN 'backed' END AS badge FROM jud GROUP BY 1, 2")
+def q15(s, d):
+    judged = _judged(s, d)
+    return reports.with_badges(judged.select("output_id", F.col("from_feature").alias("feature_id")).distinct(), graph.badges(judged, OUT), ["output_id", "feature_id"])
