@@ -58,6 +58,7 @@ seu texto aqui|texto de exemplo|texto de preenchimento|insira seu texto|escreva
 #: Words of the usual filler in Latin, and those of them that no other language uses so.
 _LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
 _COMMON = frozenset("sit sed do ut et ad ex ea in eu non qui id est sint elit magna minim culpa dolor esse nulla".split())
+_TELLING = sorted(_LATIN - _COMMON)
 #: Words that ask to fill something in, by which a bracket is a placeholder.
 _ASK = (
     r"insert|enter|fill\s+in|fill\s+out|fill|add|your|type|write|describe|replace|todo|tbd|placeholder|name\s+of|choose|select|to\s+be\s+\w+|text\s+to\s+be|"
@@ -75,8 +76,10 @@ PLACEHOLDERS = regex.compile(
 |[（［【〈＜]\s*(?:請|请)?(?:在)?(?:此處|此处|這裡|这里|填入|填寫|填写|輸入|输入|插入|ここに)[^（）［］【】〈〉\n]{{0,60}}[）］】〉＞]|[（［【〈＜][^（）［］【】〈〉\n]{{1,40}}(?:を入力|を記入|を挿入|填入|填寫|填写)[^（）［］【】〈〉\n]{{0,20}}[）］】〉＞]""",
     regex.X,
 )
+#: Every placeholder begins with one of these.
+_PLACEHOLDER_STARTS = regex.compile(r"[{<\[%@_$\#（［【〈＜]")
 _QUOTED = regex.compile(
-    r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|(`+)(?!`).+?(?<!`)\1(?!`)|\"[^\"\n]{1,400}\"|“[^”\n]{1,400}[”“]|„[^“”\"\n]{1,400}[“”\"]|«[^»\n]{1,400}»|»[^«\n]{1,400}«|‹[^›\n]{1,400}›|「[^」\n]{1,400}」|『[^』\n]{1,400}』|《[^》\n]{1,400}》|<(code|pre|blockquote|q)\b[^>]*>.*?</\2>",
+    r"(?=[`~\"“„«»‹「『《<])(?:```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|(`+)(?!`).+?(?<!`)\1(?!`)|\"[^\"\n]{1,400}\"|“[^”\n]{1,400}[”“]|„[^“”\"\n]{1,400}[“”\"]|«[^»\n]{1,400}»|»[^«\n]{1,400}«|‹[^›\n]{1,400}›|「[^」\n]{1,400}」|『[^』\n]{1,400}』|《[^》\n]{1,400}》|<(code|pre|blockquote|q)\b[^>]*>.*?</\2>)",
     regex.S | regex.I,
 )
 _SENTENCE = regex.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+")
@@ -87,6 +90,8 @@ _TRACE = regex.compile(
 )
 _JSON_ERROR = regex.compile(r"^\s*\{\s*\"(?:error|errors|message|code|status)\"\s*:.*\}\s*$", regex.S | regex.I)
 _HTML_ERROR = regex.compile(r"<(?:title|h1)>[^<]*(?:error|not found|forbidden|denied|bad request|unavailable|timeout|gateway|fehler|erreur|ошибка|エラー|錯誤|错误)[^<]*</(?:title|h1)>", regex.I)
+#: A document without a phrase can be a notice only by one of these.
+_SIGNS = regex.compile(r"traceback|error|exception|\b[45]\d\d\b|<title|<h1|fehler|erreur|\berro\b|ошибк|エラー|錯誤|错误", regex.I)
 _STATUS = regex.compile(r"^\W*(?:HTTP(?:/[\d.]+)?\s*)?(?:(?:error|fehler|erreur|erro|ошибка|エラー|錯誤|错误|status)\W*)?[45]\d\d\b\W*(?:error\b)?\W*$", regex.I)
 _ERROR_NUMBER = regex.compile(r"\b(?:error|fehler|erreur|erro|ошибка)\s*:?\s*[45]\d\d\b|[エ錯错][ラ誤误]?ー?\s*[45]\d\d|\(?\b[45]\d\d\b\)?|（[45]\d\d）", regex.I)
 _IDS = regex.compile(r"\b(?=\w*\d)[0-9a-f]{6,}(?:-[0-9a-f]+)*\b|['\"]?/[\w./\-]+['\"]?|https?://\S+", regex.I)
@@ -162,14 +167,16 @@ def latin_filler(sentence: str) -> bool:
 def has_residue(text: str) -> bool:
     """Whether the document's own text holds a placeholder or filler."""
     own = _QUOTED.sub(" \N{OBJECT REPLACEMENT CHARACTER} ", text)
-    if PLACEHOLDERS.search(own):
+    if any(PLACEHOLDERS.match(own, m.start()) for m in _PLACEHOLDER_STARTS.finditer(own)):
         return True
-    fillers = hits(_lower(own))[True]
+    low = _lower(own)
+    fillers = hits(low)[True]
+    latin = any(w in low for w in _TELLING)
     k = 0
     for start, sentence in _pieces(own):
         if not sentence.strip():
             continue
-        if _REPEATED.match(sentence.strip("[]<>{}() \t")) or latin_filler(sentence):
+        if _REPEATED.match(sentence.strip("[]<>{}() \t")) or (latin and latin_filler(sentence)):
             return True
         while k < len(fillers) and fillers[k][1] <= start:
             k += 1
@@ -188,6 +195,8 @@ def is_notice(text: str) -> bool:
     if _JSON_ERROR.match(text) and regex.search(r"\"(?:error|errors)\"\s*:", text, regex.I):
         return True
     notices = hits(_lower(text))[False]
+    if not notices and not _SIGNS.search(text):
+        return False
     matched = other = 0
     k = 0
     for start, sentence in _pieces(text):
