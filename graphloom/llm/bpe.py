@@ -27,7 +27,7 @@ from graphloom.operators.skew import spread
 
 #: The split of byte-level BPE, a fixed value of the tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_MOST_STATES = 300_000
+_MOST_STATES = 100_000
 _MOST_PIECES = 200_000
 _LONGEST_KEPT = 64
 
@@ -268,9 +268,9 @@ def encoded(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         encode = _transducer(vocabulary.value).encode
         for part in batches:
             begin = 0
-            while begin < part.num_rows:  # a part of about 4 million tokens at a time
+            while begin < part.num_rows:  # a part of about a million tokens at a time
                 offsets, values, at = [0], [], begin
-                while at < part.num_rows and len(values) < 4_000_000:
+                while at < part.num_rows and len(values) < 1_000_000:
                     values += encode(part.column(1)[at].as_py())
                     offsets.append(len(values))
                     at += 1

@@ -188,7 +188,7 @@ def span_languages(text: str) -> dict[str, int]:
 
 _PLACES = pa.schema([("file_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("times", pa.int64()), ("file_bytes", pa.int64()), ("text", pa.string())])
 _PLACES_DDL = "file_id bigint, h1 bigint, h2 bigint, times bigint, file_bytes bigint, text string"
-_MOST_SEEN = 500_000  # hashes of sent texts that a task remembers; a forgotten text is sent again
+_MOST_SEEN = 200_000  # hashes of sent texts that a task remembers; a forgotten text is sent again
 
 
 def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
