@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
-from graphloom.operators import diff, findings, graph, guidance, membrane, reports, resolve, scope, timeline, topology, validate, views
+from graphloom.operators import diff, findings, graph, guidance, membrane, reports, resolve, scope, timeline, validate, views
 from graphloom.operators.skew import spread
 from graphloom.plans.bridge import view as V
 from graphloom.plans.reference_queries import _GRAPH, _ND, _OWN, _SD, _UP, NOW, ORACLES, QUERIES, P, VER, _base, _graph, _nodes, _owned, _raised, _structures, query
