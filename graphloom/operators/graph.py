@@ -63,6 +63,18 @@ def reach(starts: DataFrame, edges: DataFrame, keys: list[str], most_hops: int |
     return found
 
 
+def linked(pairs: DataFrame, owned: DataFrame, edges: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
+    """The pairs (keys..., from_feature, to_feature) whose nodes a path of edges (scope..., from_node, to_node) of any length joins.
+
+    owned is (keys..., scope..., feature_id, node_id). A node that both features own is a path.
+    """
+    own = owned.where(F.col("node_id").isNotNull()).select(*keys, *scope, "feature_id", "node_id").distinct()
+    begun = pairs.select(*keys, "from_feature", "to_feature").distinct().join(own.withColumnsRenamed({"feature_id": "from_feature", "node_id": "source"}), [*keys, "from_feature"])
+    reached = reach(begun.select(*scope, "source", F.col("source").alias("node_id")), edges, scope)
+    ends = own.withColumnRenamed("feature_id", "to_feature")
+    return begun.join(reached, [*scope, "source"]).join(ends, [*keys, *scope, "to_feature", "node_id"], "left_semi").select(*keys, "from_feature", "to_feature").distinct()
+
+
 def pruned(seeds: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """keys..., node_id, round: seeds (round 0), and every node whose upstream nodes are all pruned, in the round it follows."""
     links = checkpoint(edges.select(*keys, "from_node", "to_node").distinct())

@@ -307,6 +307,29 @@ def v05(s, d):
     return validate.relation_errors(V(s, d, "relations"), V(s, d, "features"), None, VER)
 
 
+_PATHS = """walk AS (SELECT DISTINCT project_id, node_id AS source, node_id FROM own UNION SELECT w.project_id, w.source, e.to_node FROM walk w JOIN code_edges e ON e.project_id = w.project_id AND e.from_node = w.node_id)"""
+
+
+def _relation_ends(key):
+    return f"linked AS (SELECT DISTINCT a.{key}, a.feature_id AS from_feature, b.feature_id AS to_feature FROM own a JOIN walk w ON w.project_id = a.project_id AND w.source = a.node_id JOIN own b ON b.{key} = a.{key} AND b.node_id = w.node_id)"
+
+
+def _relation_error(key, features):
+    known = f"EXISTS (SELECT 1 FROM {features} f WHERE f.{key} = r.{key} AND f.feature_id = r.{{0}})"
+    path = f"EXISTS (SELECT 1 FROM linked l WHERE l.{key} = r.{key} AND l.from_feature = r.from_feature AND l.to_feature = r.to_feature)"
+    return f"""CASE WHEN NOT {known.format("from_feature")} THEN 'unknown_from' WHEN NOT {known.format("to_feature")} THEN 'unknown_to' WHEN relation_type = 'static' AND NOT {path} THEN 'no_path'
+ WHEN relation_type = 'inferred' AND coalesce(inferred_reason, '') = '' THEN 'no_reason' END"""
+
+
+@query("v05_relation_paths", "features versions relations code_edges", f"""RECURSIVE own AS (SELECT * FROM (SELECT DISTINCT f.version_id, v.project_id, feature_id, unnest(source_nodes) AS node_id FROM features f JOIN versions v ON v.version_id = f.version_id) WHERE node_id IS NOT NULL),
+ {_PATHS}, {_relation_ends("version_id")}, er AS (SELECT r.*, {_relation_error("version_id", "features")} AS error FROM relations r) SELECT version_id, from_feature, to_feature, error FROM er WHERE error IS NOT NULL""")
+def v05p(s, d):
+    """V05 whole: v05_relations and its SQL leave the paths of static relations out."""
+    features, relations = V(s, d, "features"), V(s, d, "relations")
+    owned = features.drop("project_id").join(V(s, d, "versions").select("version_id", "project_id"), "version_id").select("version_id", "project_id", "feature_id", F.explode("source_nodes").alias("node_id"))
+    return validate.relation_errors(relations, features, graph.linked(relations.where("relation_type = 'static'"), owned, V(s, d, "code_edges"), VER, P), VER)
+
+
 @query("v06_all_checks", "features relations", """e AS (SELECT r.version_id, CASE WHEN NOT EXISTS (SELECT 1 FROM features f WHERE f.version_id = r.version_id AND f.feature_id = r.from_feature) THEN 1 WHEN NOT EXISTS (SELECT 1 FROM features f WHERE f.version_id = r.version_id AND f.feature_id = r.to_feature) THEN 1
  WHEN relation_type = 'inferred' AND coalesce(inferred_reason, '') = '' THEN 1 ELSE 0 END AS bad FROM relations r), a AS (SELECT version_id, bool_or(coalesce(source_node_count, 0) > 0 AND coalesce(len(source_nodes), 0) = 0) AS drift FROM features GROUP BY 1),
  k AS (SELECT f.version_id, NOT coalesce(drift, false) AS drift_passed, NOT coalesce((SELECT max(bad) FROM e WHERE e.version_id = f.version_id), 0) > 0 AS relation_passed FROM (SELECT DISTINCT version_id FROM features) f LEFT JOIN a USING (version_id))
