@@ -70,7 +70,8 @@ def linked(pairs: DataFrame, owned: DataFrame, edges: DataFrame, keys: list[str]
     """
     own = owned.where(F.col("node_id").isNotNull()).select(*keys, *scope, "feature_id", "node_id").distinct()
     begun = pairs.select(*keys, "from_feature", "to_feature").distinct().join(own.withColumnsRenamed({"feature_id": "from_feature", "node_id": "source"}), [*keys, "from_feature"])
-    reached = reach(begun.select(*scope, "source", F.col("source").alias("node_id")), edges, scope)
+    lines = checkpoint(edges.select(*scope, "from_node", "to_node").distinct())
+    reached = reach(begun.select(*scope, "source", F.col("source").alias("node_id")), lines, scope)
     ends = own.withColumnRenamed("feature_id", "to_feature")
     return begun.join(reached, [*scope, "source"]).join(ends, [*keys, *scope, "to_feature", "node_id"], "left_semi").select(*keys, "from_feature", "to_feature").distinct()
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.paths import persistence_reason, schema_file_reason
 from graphloom.functions.text import term_hits, word_count
+from graphloom.operators.graph import linked
 
 #: Closed vocabularies.
 VOCABULARIES = {
@@ -27,6 +28,7 @@ VOCABULARIES = {
     "gap_kind": ["corrupt", "indeterminate", "evolutionary", "reserved"],
     "verdict": ["backed", "gap", "undetermined", "conceptual", "not_assessed"],
     "trigger": ["commit", "manual"],
+    "feature_trigger": ["user_action", "scheduled", "auto_triggered"],
     "relation_type": ["static", "inferred"],
     "category": ["operational", "test", "fixture", "script", "prototype"],
 }
@@ -46,6 +48,25 @@ def schema_errors(df: DataFrame, key: list[str], required: list[str], enums: dic
     return df.select(*key, F.inline(F.array_compact(F.array(*found))))
 
 
+def output_schema_errors(outputs: DataFrame, features: DataFrame, relations: DataFrame, key: list[str]) -> DataFrame:
+    """schema_errors of whole outputs (key..., l1) with their features and relations; an empty text or list that must hold something counts as null.
+
+    A null confidence or review_reason is allowed, a null in place of a list is not.
+    """
+    lists = ["features", "feature_relations", "unclassified_nodes", "infrastructure_nodes"]
+    roots = outputs.select(*key, F.nullif(F.col("l1.summary"), F.lit("")).alias("summary"), *[F.col(f"l1.{c}").alias(c) for c in lists])
+    anchored = features.withColumn("source_nodes", F.when(F.size("source_nodes") > 0, F.col("source_nodes")))
+    texts = ["feature_id", "label", "description", "trigger", "trigger_description", "confidence_reason", "source_nodes", "needs_source_review"]
+    reason = F.when(F.col("relation_type") == "inferred", F.nullif(F.col("inferred_reason"), F.lit(""))).otherwise("")
+    ends = ["from_feature", "to_feature", "relation", "relation_type", "inferred_reason"]
+    found = [
+        schema_errors(roots, key, ["summary", *lists], {}),
+        schema_errors(anchored, key, texts, {"trigger": "feature_trigger", "confidence": "confidence"}),
+        schema_errors(relations.withColumn("inferred_reason", reason), key, ends, {"relation_type": "relation_type"}),
+    ]
+    return reduce(DataFrame.union, found)
+
+
 def uncovered(nodes: DataFrame, covered: DataFrame, keys: list[str]) -> DataFrame:
     """Nodes that no feature and no list of exceptions holds."""
     return nodes.select(*keys, "node_id").distinct().join(covered.select(*keys, "node_id").distinct(), [*keys, "node_id"], "left_anti")
@@ -75,16 +96,16 @@ def bare_terms(blocks: DataFrame, key: list[str], terms: list[str] | None = None
     return blocks.where((F.size(hits) > 0) & (word_count(F.col("label")) < LEAST_WORDS)).select(*key, F.size(hits).cast("bigint").alias("n"), word_count(F.col("label")).alias("n_words"))
 
 
-def relation_errors(relations: DataFrame, features: DataFrame, linked: DataFrame | None, keys: list[str]) -> DataFrame:
+def relation_errors(relations: DataFrame, features: DataFrame, joined: DataFrame | None, keys: list[str]) -> DataFrame:
     """The first thing wrong with each relation: unknown_from, unknown_to, no_path (static), no_reason (inferred).
 
-    linked (keys..., from_feature, to_feature) are features whose nodes a path joins; without it paths are not checked.
+    joined (keys..., from_feature, to_feature) are features whose nodes a path joins; without it paths are not checked.
     """
     ids = features.select(*keys, "feature_id").distinct()
     met = relations.join(ids.select(*keys, F.col("feature_id").alias("from_feature"), F.lit(True).alias("a")), [*keys, "from_feature"], "left").join(
         ids.select(*keys, F.col("feature_id").alias("to_feature"), F.lit(True).alias("b")), [*keys, "to_feature"], "left"
     )
-    met = met.join(linked.withColumn("p", F.lit(True)), [*keys, "from_feature", "to_feature"], "left") if linked is not None else met.withColumn("p", F.lit(True))
+    met = met.join(joined.withColumn("p", F.lit(True)), [*keys, "from_feature", "to_feature"], "left") if joined is not None else met.withColumn("p", F.lit(True))
     static, inferred = F.col("relation_type") == "static", F.col("relation_type") == "inferred"
     no_reason = F.col("inferred_reason").isNull() | (F.col("inferred_reason") == "")
     error = F.when(F.col("a").isNull(), "unknown_from").when(F.col("b").isNull(), "unknown_to").when(static & F.col("p").isNull(), "no_path").when(inferred & no_reason, "no_reason")
@@ -101,6 +122,25 @@ def passed(checks: dict[str, DataFrame], all_keys: DataFrame, keys: list[str]) -
     return full.select(*keys, *named, every.alias("passed"))
 
 
+def output_checks(outputs: DataFrame, live: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """passed() of the five checks of outputs (output_id, project_id, l1), all of them run; live are the nodes that must be covered."""
+    key, scope = ["output_id"], ["project_id"]
+    features = outputs.select(*key, *scope, F.inline("l1.features"))
+    relations = outputs.select(*key, F.inline("l1.feature_relations")).withColumnsRenamed({"from": "from_feature", "to": "to_feature"})
+    owned = features.select(*key, *scope, "feature_id", F.explode("source_nodes").alias("node_id"))
+    excepted = F.flatten(F.array_compact(F.array("l1.unclassified_nodes", "l1.infrastructure_nodes")))
+    covered = owned.select(*key, "node_id").union(outputs.select(*key, F.explode(excepted).alias("node_id")))
+    wanted = outputs.select(*key, *scope).distinct().join(live.select(*scope, "node_id").distinct(), scope)
+    checks = {
+        "schema": output_schema_errors(outputs, features, relations, key),
+        "coverage": uncovered(wanted, covered, key),
+        "language": language_errors(features, [*key, "feature_id"]),
+        "anchor": anchor_errors(features, nodes, key),
+        "relation": relation_errors(relations, features, linked(relations.where("relation_type = 'static'"), owned, edges, key, scope), key),
+    }
+    return passed(checks, outputs, key)
+
+
 def dangling(references: DataFrame, known: DataFrame, keys: list[str], column: str) -> DataFrame:
     """References (keys..., column) to what is not known."""
     return references.where(F.col(column).isNotNull()).join(known.select(*keys, column).distinct(), [*keys, column], "left_anti").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
+from graphloom.functions.text import PROHIBITED_TERMS
 from graphloom.operators import diff, findings, graph, guidance, membrane, reports, resolve, scope, timeline, validate, views
 from graphloom.operators.skew import spread
 from graphloom.plans.bridge import view as V
@@ -340,6 +341,27 @@ def v06(s, d):
     return validate.passed(checks, features, VER)
 
 
+@query("v06_output_checks", "code_nodes live_nodes code_edges", f"""RECURSIVE o AS (SELECT DISTINCT output_id, project_id, l1 FROM l1_outputs), f AS (SELECT output_id, project_id, unnest(l1.features, max_depth := 2) FROM o),
+ rel AS (SELECT output_id, rr."from" AS from_feature, rr."to" AS to_feature, rr.relation AS relation, rr.relation_type AS relation_type, rr.inferred_reason AS inferred_reason FROM (SELECT output_id, unnest(l1.feature_relations) AS rr FROM o)),
+ own AS (SELECT * FROM (SELECT DISTINCT output_id, project_id, feature_id, unnest(source_nodes) AS node_id FROM f) WHERE node_id IS NOT NULL), {_PATHS}, {_relation_ends("output_id")},
+ schema_ AS (SELECT output_id FROM o WHERE coalesce(l1.summary, '') = '' OR l1.features IS NULL OR l1.feature_relations IS NULL OR l1.unclassified_nodes IS NULL OR l1.infrastructure_nodes IS NULL
+  UNION SELECT output_id FROM f WHERE feature_id IS NULL OR "label" IS NULL OR description IS NULL OR "trigger" IS NULL OR trigger_description IS NULL OR confidence_reason IS NULL OR coalesce(len(source_nodes), 0) = 0 OR needs_source_review IS NULL
+   OR "trigger" NOT IN ('user_action', 'scheduled', 'auto_triggered') OR confidence NOT IN ('high', 'medium', 'low')
+  UNION SELECT output_id FROM rel WHERE from_feature IS NULL OR to_feature IS NULL OR relation IS NULL OR relation_type IS NULL OR relation_type NOT IN ('static', 'inferred') OR (relation_type = 'inferred' AND coalesce(inferred_reason, '') = '')),
+ cov AS (SELECT output_id, project_id, node_id FROM own UNION SELECT output_id, project_id, unnest(l1.unclassified_nodes) FROM o UNION SELECT output_id, project_id, unnest(l1.infrastructure_nodes) FROM o),
+ coverage_ AS (SELECT DISTINCT o.output_id FROM o JOIN live_nodes n ON n.project_id = o.project_id WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.output_id = o.output_id AND cov.node_id = n.node_id)),
+ language_ AS (SELECT output_id FROM f WHERE regexp_matches(coalesce("label", ''), '(?i)\\b({"|".join(PROHIBITED_TERMS)})\\b') OR regexp_matches(coalesce(description, ''), '(?i)\\b({"|".join(PROHIBITED_TERMS)})\\b')),
+ anchor_ AS (SELECT output_id FROM f WHERE coalesce(len(source_nodes), 0) = 0 UNION SELECT output_id FROM own WHERE NOT EXISTS (SELECT 1 FROM code_nodes n WHERE n.project_id = own.project_id AND n.node_id = own.node_id)),
+ relation_ AS (SELECT output_id FROM (SELECT r.output_id, {_relation_error("output_id", "f")} AS error FROM rel r) WHERE error IS NOT NULL),
+ k AS (SELECT DISTINCT output_id, output_id NOT IN (SELECT output_id FROM schema_) AS schema_passed, output_id NOT IN (SELECT output_id FROM coverage_) AS coverage_passed, output_id NOT IN (SELECT output_id FROM language_) AS language_passed,
+  output_id NOT IN (SELECT output_id FROM anchor_) AS anchor_passed, output_id NOT IN (SELECT output_id FROM relation_) AS relation_passed FROM o)
+ SELECT *, schema_passed AND coverage_passed AND language_passed AND anchor_passed AND relation_passed AS passed FROM k""")
+def v06o(s, d):
+    """V06 whole, for each output; v06_all_checks and its SQL run two checks of a version."""
+    outputs = _base(s, d, "l1_outputs").select("output_id", "project_id", "l1").distinct()
+    return validate.output_checks(outputs, V(s, d, "live_nodes"), V(s, d, "code_nodes"), V(s, d, "code_edges"))
+
+
 @query("v07_block_references", "blocks features", "l AS (SELECT version_id, unnest(related_features) AS feature_id FROM blocks) SELECT DISTINCT version_id, feature_id FROM l WHERE feature_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM features f WHERE f.version_id = l.version_id AND f.feature_id = l.feature_id)")
 def v07(s, d):
     listed = V(s, d, "blocks").select("version_id", F.explode("related_features").alias("feature_id"))

@@ -1,6 +1,9 @@
 from graphloom.operators import graph, validate
 
 EDGES = "project_id string, from_node string, to_node string"
+RELATION = "`from` string, `to` string, relation string, relation_type string, inferred_reason string"
+FEATURE = "feature_id string, label string, description string, trigger string, trigger_description string, confidence string, confidence_reason string, source_nodes array<string>, needs_source_review boolean, review_reason string"
+L1 = f"output_id string, project_id string, l1 struct<summary string, features array<struct<{FEATURE.replace(' string', ': string').replace(' array', ': array').replace(' boolean', ': boolean')}>>, feature_relations array<struct<{RELATION.replace(' string', ': string')}>>, unclassified_nodes array<string>, infrastructure_nodes array<string>>"
 
 
 def test_static_relation_without_path(spark):
@@ -12,3 +15,20 @@ def test_static_relation_without_path(spark):
     assert {(r.from_feature, r.to_feature) for r in joined.collect()} == {("a", "b"), ("a", "d")}
     errors = validate.relation_errors(relations, owned.select("version_id", "feature_id"), joined, ["version_id"])
     assert {(r.from_feature, r.to_feature, r.error) for r in errors.collect()} == {("b", "a", "no_path"), ("b", "c", "no_path"), ("a", "e", "no_path"), ("a", "gone", "unknown_to"), ("c", "a", "no_reason")}
+
+
+def test_each_of_the_five_checks_fails_an_output(spark):
+    def output(name, label="Send the bill", trigger="user_action", b=("n2",), other=("n3",), relation=("a", "b", "uses", "static", None)):
+        of = lambda i, nodes, text: (i, text, "It sends.", trigger, "When asked.", None, "Read.", list(nodes), False, None)
+        return name, "p", ("All.", [of("a", ["n1"], label), of("b", b, "Keep the bill")], [relation], list(other), [])
+
+    outputs = [
+        output("good"), output("schema", trigger="sometimes"), output("coverage", other=()), output("language", label="The billing module of all"),
+        output("anchor", b=("n2", "nowhere")), output("relation", relation=("b", "a", "uses", "static", None)),
+    ]
+    nodes = spark.createDataFrame([("p", "n1"), ("p", "n2"), ("p", "n3")], "project_id string, node_id string")
+    edges = spark.createDataFrame([("p", "n1", "n3"), ("p", "n3", "n2")], EDGES)
+    rows = validate.output_checks(spark.createDataFrame(outputs, L1), nodes, nodes, edges).collect()
+    failed = {r.output_id: {c for c in ("schema", "coverage", "language", "anchor", "relation") if not r[f"{c}_passed"]} for r in rows}
+    assert failed == {"good": set()} | {c: {c} for c in ("schema", "coverage", "language", "anchor", "relation")}
+    assert {r.output_id for r in rows if r.passed} == {"good"}
