@@ -167,19 +167,32 @@ def output_events(l1: DataFrame, l15: DataFrame, nodes: DataFrame) -> tuple[Data
     return parents, _node_references(l1).unionByName(_feature_references(l15))
 
 
+def _ends(of) -> F.Column:
+    """Entries (ref_field, ref_key) of what `of` leaves of each end of an output's relations."""
+    relations = F.col("l1.feature_relations")
+
+    def named(end: str) -> F.Column:
+        return F.transform(of(_entries(F.transform(relations, lambda r: r[end]))), lambda x: F.struct(F.lit(end).alias("ref_field"), x.alias("ref_key")))
+
+    return F.concat(named("from"), named("to"))
+
+
 def endpoint_orphans(l1: DataFrame) -> DataFrame:
     """Relation ends that are no feature of their own output.
 
     Their parent index is part of the record that holds the references, so each record probes itself, without a shuffle.
     """
     ids = F.transform(F.coalesce(F.col("l1.features"), F.array()), lambda f: f["feature_id"])
-    relations = F.col("l1.feature_relations")
+    return l1.select("output_id", F.col("produced_at").alias("at"), F.inline(_ends(lambda x: F.array_except(x, ids))))
 
-    def missing(end: str) -> F.Column:
-        return F.transform(F.array_except(_entries(F.transform(relations, lambda r: r[end])), ids), lambda x: F.struct(F.lit(end).alias("ref_field"), x.alias("ref_key")))
 
-    both = F.concat(missing("from"), missing("to"))
-    return l1.select("output_id", F.col("produced_at").alias("at"), F.inline(both))
+def endpoint_transitions(l1: DataFrame) -> DataFrame:
+    """Relation ends as transitions (space, at, arrived, orphaned, resolved, reopened): their parents neither come later nor end."""
+    ids = F.transform(F.coalesce(F.col("l1.features"), F.array()), lambda f: f["feature_id"])
+    ends = _ends(lambda x: x)
+    rows = l1.select("output_id", F.col("produced_at").cast("timestamp_ntz").alias("at"), ids.alias("ids"), F.inline(ends))
+    rows = rows.withColumn("orphaned", (~F.coalesce(F.array_contains("ids", F.col("ref_key")), F.lit(False))).cast("int")).drop("ids").distinct()
+    return rows.select(F.col("ref_field").alias("space"), "at", F.lit(1).alias("arrived"), "orphaned", F.lit(0).alias("resolved"), F.lit(0).alias("reopened"))
 
 
 def orphan_references(l1: DataFrame, l15: DataFrame, nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -197,9 +210,14 @@ def orphan_references(l1: DataFrame, l15: DataFrame, nodes: DataFrame, hot_rows:
 def orphan_report(l1: DataFrame, l15: DataFrame, nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """For each kind of reference and month: references arrived, orphaned, resolved, reopened, and pending at its end.
 
-    Outputs delivered again count once.
+    Outputs delivered again count once. References without a time are orphans of the period null, which comes first in
+    the line; they stay pending, as no parent is at their time.
     """
     parents, references = output_events(l1, l15, nodes)
-    events = parent_events(parents).unionByName(reference_events(references.distinct()).select(*KEY, "at", "opened", "known"))
+    references = references.distinct()
+    events = parent_events(parents).unionByName(reference_events(references).select(*KEY, "at", "opened", "known"))
     _, transitions = advance(None, events, hot_rows)
-    return by_period(transitions)
+    columns = ["space", "at", "arrived", "orphaned", "resolved", "reopened"]
+    one, none = F.lit(1), F.lit(0)
+    timeless = references.where(F.col("at").isNull()).select("space", F.col("at").cast("timestamp_ntz").alias("at"), one.alias("arrived"), one.alias("orphaned"), none.alias("resolved"), none.alias("reopened"))
+    return by_period(transitions.select(*columns).unionByName(timeless).unionByName(endpoint_transitions(l1)))

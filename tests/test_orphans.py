@@ -84,3 +84,19 @@ def test_outputs(spark):
     }
     assert orphans.orphan_references(l1.limit(0), l15.limit(0), nodes.limit(0)).count() == 0
     assert orphans.orphan_report(l1, l15, nodes).where("space = 'source_nodes'").agg(F.sum("arrived")).first()[0] == 3
+
+
+def test_report_counts_what_is_found(spark):
+    def out(name, t, nodes, ends):
+        return name, "p", "v", at(t), ([("f1", nodes), (None, None)], ends)
+
+    rows = [out("o1", 5, ["n1", "n2"], [("f1", "f9"), ("fx", "f1"), ("f1", "f9")]), out("o2", None, ["n1"], [("f1", "f8"), (None, "")]), out("o3", 900, ["n2"], None)]
+    l1 = spark.createDataFrame(rows + rows[:2], "output_id string, project_id string, version_id string, produced_at timestamp_ntz, l1 struct<features array<struct<feature_id string, source_nodes array<string>>>, feature_relations array<struct<`from` string, `to` string>>>")
+    l15 = spark.createDataFrame([("b1", "p", "v", at(6), ([(["f1", "f3"],)],)), ("b2", "p", "v", None, ([(["f1"],)],))], "output_id string, project_id string, version_id string, produced_at timestamp_ntz, l1_5 struct<blocks array<struct<related_features array<string>>>>")
+    nodes = spark.createDataFrame([("p", "n1", at(0), None)], "project_id string, node_id string, created_at timestamp_ntz, removed_at timestamp_ntz")
+    report = {(r.space, r.period): r for r in orphans.orphan_report(l1, l15, nodes).collect()}
+    found = orphans.orphan_references(l1, l15, nodes).groupBy("ref_field", "period").count().collect()
+    assert {(r.ref_field, r.period): r["count"] for r in found} == {k: r.orphaned for k, r in report.items() if r.orphaned}
+    assert (report["from", "2025-01"].arrived, report["from", "2025-01"].orphaned) == (2, 1)
+    assert (report["to", None].pending, report["to", "2025-01"].arrived, report["to", "2025-01"].pending) == (1, 2, 2)
+    assert (report["source_nodes", None].orphaned, report["source_nodes", "2025-02"].pending) == (1, 3)
