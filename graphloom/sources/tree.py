@@ -47,6 +47,17 @@ def _names(nodes: list[ast.expr]) -> list[str]:
     return [ast.unparse(n) for n in nodes]
 
 
+def _inner(n: ast.stmt) -> list[ast.stmt]:
+    """The statements directly inside a compound statement, in order: of all branches, handlers and cases."""
+    out: list[ast.stmt] = []
+    for child in ast.iter_child_nodes(n):
+        if isinstance(child, ast.stmt):
+            out.append(child)
+        elif isinstance(child, (ast.ExceptHandler, ast.match_case)):
+            out += child.body
+    return out
+
+
 def python_nodes(path: str, text: str) -> Iterator[dict]:
     """The definitions of a Python file: functions, classes and methods; functions in functions are not entered."""
     tree = ast.parse(text)
@@ -67,8 +78,8 @@ def python_nodes(path: str, text: str) -> Iterator[dict]:
                 }
                 if cls:
                     yield from visit(n.body, name)
-            elif isinstance(n, (ast.If, ast.Try, ast.With)):
-                yield from visit([*n.body, *getattr(n, "orelse", []), *getattr(n, "finalbody", [])], owner)
+            else:
+                yield from visit(_inner(n), owner)
 
     yield from visit(tree.body, "")
 

@@ -36,6 +36,30 @@ def test_tree(spark, tmp_path):
     assert tree.snippet(SOURCE.split("\n"), 6).startswith("    def f") and "inner" in tree.snippet(SOURCE.split("\n"), 6) and "main" not in tree.snippet(SOURCE.split("\n"), 6)
 
 
+def test_definitions_inside_any_statement():
+    source = """
+try:
+    def a(): pass
+except OSError:
+    def b(): pass
+else:
+    def c(): pass
+for x in y:
+    def d(): pass
+while x:
+    class E:
+        if x:
+            async def f(self): pass
+match x:
+    case 1:
+        def g(): pass
+async def h():
+    async with z:
+        def inner(): pass
+"""
+    assert [n["node_id"] for n in tree.python_nodes("m.py", source)] == [f"m.py::{n}" for n in ("a", "b", "c", "d", "E", "E.f", "g", "h")]
+
+
 def test_documents(spark, tmp_path):
     doc = {"files": [{"path": "a.py", "language": "python"}], "nodes": [{"node_id": "a.py::f", "name": "f"}], "edges": [{"from": "a.py::f", "to": "x", "type": "calls"}], "topology": []}
     (tmp_path / "s").mkdir()
