@@ -77,16 +77,8 @@ def _brackets_pattern(language: str) -> regex.Pattern:
     return regex.compile(define(language) + r"(?:(?&com)|(?&str)|[^()\[\]{}\"'`/\#@$bcruRUfFtTB]++|\w++|[^()\[\]{}])++|(?P<b>[()\[\]{}])")
 
 
-_SURE = 20_000
-
-
 def balanced(language: str, content: str) -> str:
-    """content with the brackets that have no partner blanked, so that no pattern follows one to the end of the text.
-
-    One pass; it is left out for short texts whose brackets add up.
-    """
-    if len(content) < _SURE and all(content.count(a) == content.count(b) for a, b in ("()", "[]", "{}")):
-        return content
+    """content with the brackets that have no partner blanked, so that no pattern follows one to the end of the text."""
     closes = {")": "(", "]": "[", "}": "{"}
     stack: list[tuple[str, int]] = []
     open_of = dict.fromkeys("([{", 0)

@@ -1,7 +1,7 @@
 import pytest
 
 from graphloom.llm import docpairs as p
-from graphloom.llm.lexical import language_of
+from graphloom.llm.lexical import balanced, language_of
 
 PY = '''
 # def not_this(): "This comment is not a function at all."
@@ -213,3 +213,8 @@ def test_table(spark):
     assert len(got) == 4 + 3 and {r.file_id for r in got} == {1, 3}
     assert p.documented_names(spark.createDataFrame([], ddl)).count() == 0
     assert language_of("C#", "x.py") == "csharp" and language_of(None, "x.TSX") == "typescript" and language_of("cobol", "x.cob") is None
+
+
+def test_stray_bracket_whose_partner_is_in_a_comment():
+    text = "/** Adds the numbers of both sides. */\nfunction add(a, b) {\n  // done )\n  return ( a + b;\n}\n"
+    assert "( a" not in balanced("javascript", text) and "// done )" in balanced("javascript", text)
