@@ -90,8 +90,8 @@ _TRACE = regex.compile(
 )
 _JSON_ERROR = regex.compile(r"^\s*\{\s*\"(?:error|errors|message|code|status)\"\s*:.*\}\s*$", regex.S | regex.I)
 _HTML_ERROR = regex.compile(r"<(?:title|h1)>[^<]*(?:error|not found|forbidden|denied|bad request|unavailable|timeout|gateway|fehler|erreur|ошибка|エラー|錯誤|错误)[^<]*</(?:title|h1)>", regex.I)
-#: A document without a phrase can be a notice only by one of these.
-_SIGNS = regex.compile(r"traceback|error|exception|\b[45]\d\d\b|<title|<h1|fehler|erreur|\berro\b|ошибк|エラー|錯誤|错误", regex.I)
+#: A document without a phrase can be a notice only by one of these, which hold all that _TRACE and _STATUS match.
+_SIGNS = regex.compile(r"traceback|error|exception|<title|<h1|fehler|erreur|\berro\b|ошибк|エラー|錯誤|错误|[45]\d\d\b|at [\w$.<>]+\(|file \"|\.{3} \d|=\s*[\w.]+\(|\braise\b|\breturn\b", regex.I)
 _STATUS = regex.compile(r"^\W*(?:HTTP(?:/[\d.]+)?\s*)?(?:(?:error|fehler|erreur|erro|ошибка|エラー|錯誤|错误|status)\W*)?[45]\d\d\b\W*(?:error\b)?\W*$", regex.I)
 _ERROR_NUMBER = regex.compile(r"\b(?:error|fehler|erreur|erro|ошибка)\s*:?\s*[45]\d\d\b|[エ錯错][ラ誤误]?ー?\s*[45]\d\d|\(?\b[45]\d\d\b\)?|（[45]\d\d）", regex.I)
 _IDS = regex.compile(r"\b(?=\w*\d)[0-9a-f]{6,}(?:-[0-9a-f]+)*\b|['\"]?/[\w./\-]+['\"]?|https?://\S+", regex.I)

@@ -42,3 +42,7 @@ def test_table(spark):
     assert sorted(found) == [*range(len(CASES))]
     assert {x.doc_id for x in r.without_cases(df).collect()} == {*range(len(CASES), len(texts))}
     assert r.cases(df.limit(0)).count() == 0
+
+
+def test_notices_without_a_phrase():
+    assert all(map(r.is_notice, ("HTTP404", "at a.b(C.java:3)\nat a.c(C.java:9)", 'File "x", line 3')))
