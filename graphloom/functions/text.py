@@ -130,9 +130,12 @@ def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([[{"type": k, "text": t} for k, t in word_changes(a, b)] for a, b in zip(before, after, strict=True)])
 
 
-def body_hash(content: Column, start: Column, end: Column) -> Column:
-    """MD5 of the lines from start to end, with line ends made alike; null if either is unknown."""
-    lines = F.split(F.regexp_replace(content, r"\r\n?", "\n"), "\n")
+def body_hash(content: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    """MD5 of the lines from start to end, with line ends made alike, or of the whole text; null if a given bound is unknown."""
+    alike = F.regexp_replace(content, r"\r\n?", "\n")
+    if start is None or end is None:
+        return F.md5(alike)
+    lines = F.split(alike, "\n")
     return F.md5(F.array_join(F.slice(lines, start, F.greatest(end - start + 1, F.lit(0))), "\n"))
 
 

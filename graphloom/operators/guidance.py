@@ -16,7 +16,7 @@ RULES = [
     ("extract.backfill_structure", 5, "cli after_error", "n_snapshots > n_with_structure"),
     ("extract.repair_drift", 6, "cli", "n_drifts > 0"),
     ("system_status.show", 90, "cli mcp viewer after_error", "true"),
-    ("onboarding.read_guide", 99, "cli mcp viewer after_error", "true"),
+    ("onboarding.read_claude_md", 99, "cli mcp viewer after_error", "true"),
 ]
 #: The action that an error moves to the front.
 BOOSTS = {

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from graphloom.session import checkpoint
 
-#: A group under this many rows always fits a task.
+#: A group under this many rows always fits a task, whatever the size of the table.
 HOT_ROWS = 500_000
-#: No more than this many groups can be hot, as each has more than this share of all rows.
-MOST_HOT = 1000
+#: Up to this many keys, and one row for each, are broadcast; more are joined with salted keys.
+MOST_BROADCAST = 10_000
 _BUCKETS = 4096
+_SALTS = 64
 
 
 def is_blank(c: Column) -> Column:
@@ -20,49 +21,79 @@ def is_blank(c: Column) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The groups of `keys` with more than max(hot_rows, rows / MOST_HOT) rows; None if there are none.
+    """The groups of `keys` with more than hot_rows rows, written once; None if there are none.
 
     A first job counts rows by a hash of the key, which sends 4096 numbers a task. Only if a bucket is large, a second job
-    counts the keys in such buckets. By the share each one holds there are at most MOST_HOT groups in the result, so
-    joining it by broadcast is safe at any size.
+    counts the keys in such buckets. The limit doesn't grow with the table, so there may be one hot key for each hot_rows
+    rows: they stay a table, and who joins them looks at their number first.
     """
     bucket = F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS))
-    counts = df.groupBy(bucket.alias("bucket")).count().agg(
-        F.sum("count").alias("n"), F.collect_list(F.struct("bucket", "count")).alias("each")
-    ).first()
-    limit = max(hot_rows, (counts["n"] or 0) // MOST_HOT)
-    large = [x["bucket"] for x in counts["each"] if x["count"] > limit]
-    if not large:
+    counts = df.groupBy(bucket.alias("bucket")).count().where(F.col("count") > hot_rows).collect()  # at most 4096 rows
+    if not counts:
         return None
-    found = df.where(bucket.isin(large)).groupBy(*keys).count().where(F.col("count") > limit)
-    rows = found.select(*keys).collect()  # at most MOST_HOT rows
-    return df.sparkSession.createDataFrame(rows, found.select(*keys).schema) if rows else None
+    large = df if len(counts) > _BUCKETS // 2 else df.where(bucket.isin([x["bucket"] for x in counts]))
+    found = checkpoint(large.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys))
+    return None if found.isEmpty() else found
+
+
+def _salt(df: DataFrame) -> Column:
+    """A number from 0 to _SALTS - 1 that a row keeps when it is made again."""
+    return F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith(("map", "variant"))]), F.lit(_SALTS))
+
+
+def _salted(few: DataFrame) -> DataFrame:
+    return few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
 
 
 def with_hot(df: DataFrame, hot: DataFrame | None, keys: list[str], slice_of: Column, name: str = "slice") -> DataFrame:
     """df with `name`: slice_of for rows of a hot group, else null."""
     if hot is None:
         return df.withColumn(name, F.lit(None).cast("bigint"))
-    flagged = F.broadcast(hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys]).withColumn("__hot", F.lit(True)))
-    same = None
+    flagged = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys]).withColumn("__hot", F.lit(True))
+    if hot.count() <= MOST_BROADCAST:
+        flagged, left, same = F.broadcast(flagged), df, F.lit(True)
+    else:
+        flagged, left = _salted(flagged), df.withColumn("__own", _salt(df))
+        same = left["__own"] == flagged["__salt"]
     for k in keys:
-        one = df[k].eqNullSafe(flagged[f"__hot_{k}"])
-        same = one if same is None else same & one
-    out = df.join(flagged, same, "left").withColumn(name, F.when(F.col("__hot"), slice_of).cast("bigint"))
-    return out.drop("__hot", *[f"__hot_{k}" for k in keys])
+        same = same & left[k].eqNullSafe(flagged[f"__hot_{k}"])
+    out = left.join(flagged, same, "left").withColumn(name, F.when(F.col("__hot"), slice_of).cast("bigint"))
+    return out.select(*df.columns, name)
+
 
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined to right, which has at most one narrow row for a key; hot are the keys of too many rows of left.
 
-def neighbour(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, back: bool, span: str = "MONTH") -> DataFrame:
+    Rows of a hot key stay where they are: their one partner comes to them, by broadcast or, if there are many hot keys,
+    once for each salt. Keys that are null find nothing.
+    """
+    if hot is None:
+        return left.join(right, keys, how)
+    marked = with_hot(left, hot, keys, F.lit(1), "__is_hot")
+    cold = marked.where(F.col("__is_hot").isNull()).drop("__is_hot").join(right, keys, how)
+    warm = marked.where(F.col("__is_hot").isNotNull()).drop("__is_hot")
+    few = right.join(F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot, keys, "left_semi")
+    if hot.count() <= MOST_BROADCAST:
+        return cold.unionByName(warm.join(F.broadcast(few), keys, how))
+    met = warm.withColumn("__salt", _salt(warm)).join(_salted(few), [*keys, "__salt"], how).drop("__salt")
+    return cold.unionByName(met)
+
+
+def neighbour(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, back: bool, hot_rows: int = HOT_ROWS) -> DataFrame:
     """df with `out`: `value` of the row before (back) or after in its group by `order`, whose first column is a timestamp.
 
-    The window runs within a group and a calendar span, so a group with a third of all rows is spread over its spans. A
-    second, compact window over one row a span carries the value over its border. Null if there is no such row.
-    Rows whose first order column is null get null and are nobody's neighbour.
+    The window runs within a group and a calendar month, so a group with a third of all rows is spread over its months. A
+    second, compact window over one row a month carries the value over its border. If a group has too many rows even
+    within a month, down to all of them at one moment, rows are numbered over range partitions and meet the next number.
+    Null if there is no such row. Rows whose first order column is null get null and are nobody's neighbour; order leaves
+    no ties.
     """
-    rows = df.withColumn("__span", F.date_trunc(span, F.col(order[0]).cast("timestamp")))
+    rows = df.withColumn("__span", F.date_trunc("MONTH", F.col(order[0]).cast("timestamp")))
+    known = rows.where(F.col(order[0]).isNotNull())
+    if hot_keys(known.select(*keys, "__span"), [*keys, "__span"], hot_rows) is not None:
+        return _next_number(df, keys, order, value, out, back, hot_rows)
     edge = F.max if back else F.min
     step = F.lag if back else F.lead
-    known = rows.where(F.col(order[0]).isNotNull())
     compact = known.groupBy(*keys, "__span").agg(edge(F.struct(*order, F.col(value).alias("__value"))).alias("__edge"))
     compact = compact.select(
         *[F.col(k).alias(f"__c_{k}") for k in keys], F.col("__span").alias("__c_span"),
@@ -78,6 +109,17 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], value: str, out:
     return joined.withColumn(out, near["v"]).select(*df.columns, out)
 
 
+def _next_number(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, back: bool, hot_rows: int) -> DataFrame:
+    known = df.where(F.col(order[0]).isNotNull())
+    numbered = checkpoint(ranked(known, keys, [F.col(c).asc() for c in order], "__n", hot_rows))
+    other = numbered.select(*[F.col(k).alias(f"__o_{k}") for k in keys], (F.col("__n") + (1 if back else -1)).alias("__m"), F.col(value).alias(out))
+    same = numbered["__n"] == other["__m"]
+    for k in keys:
+        same = same & numbered[k].eqNullSafe(other[f"__o_{k}"])
+    met = numbered.join(other, same, "left").select(*df.columns, out)
+    return met.unionByName(df.where(F.col(order[0]).isNull()).withColumn(out, F.lit(None).cast(dict(df.dtypes)[value])))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, if its scan has fewer; else df as it is, without a shuffle.
 

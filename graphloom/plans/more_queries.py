@@ -517,7 +517,7 @@ def _states(s, d):
 @query("n01_next_actions", "versions features", """dr AS (SELECT version_id, count(*) AS x FROM features WHERE source_node_count > 0 AND coalesce(len(source_nodes), 0) = 0 GROUP BY 1),
  st AS (SELECT project_id, count(*) AS a, count(*) FILTER (WHERE len(analyzed_files) > 0) AS b, coalesce(sum(x), 0) AS c FROM versions LEFT JOIN dr USING (version_id) GROUP BY 1)
  SELECT project_id, 'analyze_changes.incremental' AS action, 2::BIGINT AS priority FROM st WHERE a >= 1 UNION ALL SELECT project_id, 'viewer.open', 3 FROM st WHERE a >= 2 UNION ALL SELECT project_id, 'diff.cli', 4 FROM st WHERE a >= 2
- UNION ALL SELECT project_id, 'extract.backfill_structure', 5 FROM st WHERE a > b UNION ALL SELECT project_id, 'extract.repair_drift', 6 FROM st WHERE c > 0 UNION ALL SELECT project_id, 'system_status.show', 90 FROM st UNION ALL SELECT project_id, 'onboarding.read_guide', 99 FROM st""")
+ UNION ALL SELECT project_id, 'extract.backfill_structure', 5 FROM st WHERE a > b UNION ALL SELECT project_id, 'extract.repair_drift', 6 FROM st WHERE c > 0 UNION ALL SELECT project_id, 'system_status.show', 90 FROM st UNION ALL SELECT project_id, 'onboarding.read_claude_md', 99 FROM st""")
 def n01(s, d):
     return guidance.next_actions(_states(s, d), "cli")
 

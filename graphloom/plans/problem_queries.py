@@ -98,6 +98,50 @@ cases AS (
                     AND f.produced_at = a.l1_at AND f.feature_id = a.ref_key))
 SELECT DISTINCT output_id, ref_field, ref_key, strftime(produced_at, '%Y-%m') AS period FROM cases
 WHERE ref_key IS NOT NULL AND NOT regexp_full_match(ref_key, '\\s*')""",
+    # A start or an end counts where no other lifetime covers it; every reference that came before is then resolved or reopened.
+    "p1_report": """
+WITH l1 AS (SELECT DISTINCT output_id, project_id, version_id, produced_at, l1 FROM l1_outputs),
+l15 AS (SELECT DISTINCT output_id, project_id, version_id, produced_at, l1_5 FROM l15_outputs),
+feats AS (SELECT output_id, project_id, version_id, produced_at, unnest(l1.features).feature_id AS feature_id FROM l1),
+outs AS (
+  SELECT project_id, version_id, produced_at, max(output_id) AS output_id, lead(produced_at) OVER (PARTITION BY project_id, version_id ORDER BY produced_at) AS until
+  FROM l1 WHERE produced_at IS NOT NULL GROUP BY 1, 2, 3),
+lives AS MATERIALIZED (
+  SELECT DISTINCT 'source_nodes' AS space, project_id AS k1, '' AS k2, node_id AS item, created_at AS a, removed_at AS b FROM nodes
+  WHERE created_at IS NOT NULL AND (removed_at IS NULL OR removed_at > created_at)
+  UNION ALL SELECT DISTINCT 'related_features', f.project_id, f.version_id, f.feature_id, o.produced_at, o.until
+  FROM feats f JOIN outs o ON o.output_id = f.output_id AND o.produced_at = f.produced_at WHERE f.feature_id IS NOT NULL),
+refs AS MATERIALIZED (
+  SELECT DISTINCT * FROM (
+    SELECT 'source_nodes' AS space, project_id AS k1, '' AS k2, unnest(nodes) AS item, produced_at AS t, output_id
+    FROM (SELECT output_id, project_id, produced_at, unnest(l1.features).source_nodes AS nodes FROM l1)
+    UNION ALL SELECT 'related_features', project_id, version_id, unnest(rf), produced_at, output_id
+    FROM (SELECT output_id, project_id, version_id, produced_at, unnest(l1_5.blocks).related_features AS rf FROM l15)
+    UNION ALL SELECT 'from', output_id, '', unnest(l1.feature_relations)."from", produced_at, output_id FROM l1
+    UNION ALL SELECT 'to', output_id, '', unnest(l1.feature_relations)."to", produced_at, output_id FROM l1)
+  WHERE item IS NOT NULL AND NOT regexp_full_match(item, '\\s*')),
+held AS (
+  SELECT r.*, CASE WHEN space IN ('from', 'to') THEN NOT EXISTS (SELECT 1 FROM feats f WHERE f.output_id = r.output_id AND f.feature_id = r.item)
+    ELSE NOT EXISTS (SELECT 1 FROM lives l WHERE l.space = r.space AND l.k1 = r.k1 AND l.k2 = r.k2 AND l.item = r.item AND l.a <= r.t AND (l.b IS NULL OR r.t < l.b)) END AS lost
+  FROM refs r),
+starts AS (
+  SELECT DISTINCT space, k1, k2, item, a AS t FROM lives s WHERE NOT EXISTS (
+    SELECT 1 FROM lives l WHERE l.space = s.space AND l.k1 = s.k1 AND l.k2 = s.k2 AND l.item = s.item AND l.a < s.a AND (l.b IS NULL OR l.b >= s.a))),
+stops AS (
+  SELECT DISTINCT space, k1, k2, item, b AS t FROM lives s WHERE b IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM lives l WHERE l.space = s.space AND l.k1 = s.k1 AND l.k2 = s.k2 AND l.item = s.item AND l.a <= s.b AND (l.b IS NULL OR l.b > s.b))),
+moves AS (
+  SELECT space, t, 1 AS arrived, lost::INTEGER AS orphaned, 0 AS resolved, 0 AS reopened FROM held
+  UNION ALL SELECT s.space, s.t, 0, 0, 1, 0 FROM starts s JOIN refs r USING (space, k1, k2, item) WHERE r.t < s.t
+  UNION ALL SELECT s.space, s.t, 0, 0, 0, 1 FROM stops s JOIN refs r USING (space, k1, k2, item) WHERE r.t < s.t),
+months AS (SELECT space, date_trunc('month', t)::DATE AS month, sum(arrived) AS arrived, sum(orphaned) AS orphaned, sum(resolved) AS resolved, sum(reopened) AS reopened FROM moves GROUP BY 1, 2),
+every AS (SELECT space, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM months GROUP BY 1 UNION SELECT space, month FROM months),
+filled AS (
+  SELECT e.space, e.month, coalesce(arrived, 0) AS arrived, coalesce(orphaned, 0) AS orphaned, coalesce(resolved, 0) AS resolved, coalesce(reopened, 0) AS reopened
+  FROM every e LEFT JOIN months m ON m.space = e.space AND m.month IS NOT DISTINCT FROM e.month)
+SELECT space, strftime(month, '%Y-%m') AS period, arrived::BIGINT AS arrived, orphaned::BIGINT AS orphaned, resolved::BIGINT AS resolved, reopened::BIGINT AS reopened,
+  (sum(orphaned + reopened - resolved) OVER (PARTITION BY space ORDER BY month NULLS FIRST))::BIGINT AS pending
+FROM filled""",
     "p2_found": """
 WITH chain AS (
   SELECT version_id, lag(version_id) OVER (PARTITION BY project_id ORDER BY "timestamp"::TIMESTAMPTZ, version_id) AS prev FROM snapshots),

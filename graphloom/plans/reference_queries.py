@@ -57,7 +57,7 @@ def _region(c: str) -> str:
 
 @query("f06_body_hash", "", r"SELECT DISTINCT file_id, md5(regexp_replace(content, '\r\n?', chr(10), 'g')) AS body_hash FROM source_files WHERE content IS NOT NULL")
 def f06(s, d):
-    return _base(s, d, "source_files").where("content is not null").select("file_id", text.body_hash(F.col("content"), F.lit(1), F.lit(10_000_000)).alias("body_hash")).distinct()
+    return _base(s, d, "source_files").where("content is not null").select("file_id", text.body_hash(F.col("content")).alias("body_hash")).distinct()
 
 
 @query("f08_region_of", "code_nodes", f"SELECT {_region('node_id')} AS region, count(*) AS n FROM code_nodes GROUP BY 1")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +32,32 @@ def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster that is an error, as no executor would find
+    what another one wrote on its own machine.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir is unset; it must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="graphloom-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: made once, read as often as needed, and only the columns that are.
+
+    The table stays until the folder is cleared, as any plan made from it may still run.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it from there."""
     shared_folder(df.sparkSession)

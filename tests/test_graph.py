@@ -131,7 +131,7 @@ def test_elements(spark):
 def test_guidance(spark):
     states = spark.createDataFrame([("p", False, False, False, 0, 0, 0), ("q", True, True, True, 0, 0, 0)], "project_id string, initialised boolean, has_structure boolean, residue_done boolean, n_snapshots int, n_with_structure int, n_drifts int")
     got = {(r.project_id, r.action): r.priority for r in guidance.next_actions(states, "after_error", "no_snapshot_for_baseline").collect()}
-    assert got["q", "snapshot.write_first"] == 1 and ("p", "snapshot.write_first") not in got and got["p", "onboarding.read_guide"] == 99
+    assert got["q", "snapshot.write_first"] == 1 and ("p", "snapshot.write_first") not in got and got["p", "onboarding.read_claude_md"] == 99
     assert guidance.decision(["Keep", "Drop"], " keep ") == "Keep"
     for options, answer in (([], "x"), (["a", "A"], "a"), (["a"], "b")):
         with pytest.raises(ValueError):

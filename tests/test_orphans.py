@@ -31,28 +31,33 @@ def alive(lives, scope, item, t):
     return t is not None and any(x[1] == scope and x[3] == item and x[4] is not None and x[4] <= t and (x[5] is None or t < x[5]) for x in lives)
 
 
-@pytest.mark.parametrize(("seed", "hot_rows"), [(1, 10**6), (2, 5), (3, 1)])
-def test_probe_is_brute_force(spark, seed, hot_rows):
+def events_of(spark, lives, refs):
+    return orphans.parent_events(spark.createDataFrame(lives, LIFE)).unionByName(orphans.reference_events(spark.createDataFrame(refs, REF)))
+
+
+@pytest.mark.parametrize(("seed", "hot_rows", "batches"), [(1, 10**6, 1), (1, 10**6, 4), (2, 5, 3), (3, 1, 2)])
+def test_orphans_are_brute_force(spark, seed, hot_rows, batches):
     lives, refs = world(seed)
-    got = orphans.probe(spark.createDataFrame(lives, LIFE), spark.createDataFrame(refs, REF), hot_rows)
+    moves, got = orphans.in_batches(events_of(spark, lives, refs + refs[:7]), batches, hot_rows)
     want = sorted(r[5] for r in refs if not alive(lives, r[1], r[3], r[4]))
     assert sorted(r.name for r in got.collect()) == want
+    assert moves.agg(F.sum("orphaned"), F.sum("arrived")).first()[:] == (sum(1 for r in refs if r[4] and not alive(lives, r[1], r[3], r[4])), sum(1 for r in refs if r[4]))
 
 
 @pytest.mark.parametrize("hot_rows", [10**6, 1])
 def test_advance_in_any_split_is_one_fold(spark, hot_rows):
     lives, refs = world(5)
-    events = orphans.parent_events(spark.createDataFrame(lives, LIFE)).unionByName(orphans.reference_events(spark.createDataFrame(refs, REF)).select(*orphans.KEY, "at", "opened", "known"))
-    events = events.where(F.col("at").isNotNull()).cache()
-    _, once = orphans.advance(None, events, hot_rows)
-    want = sorted(map(tuple, once.collect()), key=str)
-    state, got = None, []
+    events = events_of(spark, lives, refs).where(F.col("at").isNotNull()).cache()
+    _, once, lost = orphans.advance(None, events, hot_rows)
+    want, want_lost = sorted(map(tuple, once.collect()), key=str), sorted(map(tuple, lost.collect()), key=str)
+    state, got, got_lost = None, [], []
     for lo, hi in ((-9, 20), (20, 41), (41, 999)):
         part = events.where((F.col("at") >= F.lit(at(lo))) & (F.col("at") < F.lit(at(hi))))
-        state, moved = orphans.advance(state, part, hot_rows)
+        state, moved, orphaned = orphans.advance(state, part, hot_rows)
         got += map(tuple, moved.collect())
+        got_lost += map(tuple, orphaned.collect())
         state = spark.createDataFrame(state.collect(), state.schema)
-    assert sorted(got, key=str) == want
+    assert sorted(got, key=str) == want and sorted(got_lost, key=str) == want_lost
     report = {(r.space, r.period): r for r in orphans.by_period(once).collect()}
     timed = [r for r in refs if r[4] is not None]
     assert sum(r.arrived for r in report.values()) == len(timed)
@@ -61,6 +66,22 @@ def test_advance_in_any_split_is_one_fold(spark, hot_rows):
     assert report["s", last].pending == dead
 
 
+def test_one_moment_holds_all_rows(spark):
+    """One key, one moment: the limit is crossed and every reference still comes out once."""
+    refs = [("s", "p", None, "gone", at(3), f"r{i}") for i in range(500)] + [("s", "p", None, "there", at(3), f"r{i}") for i in range(500)]
+    lives = [("s", "p", None, "there", at(3), at(4)), ("s", "p", None, "gone", at(1), at(3))]
+    for batches in (1, 3):
+        moves, got = orphans.in_batches(events_of(spark, lives, refs + refs[:90]), batches, 50)
+        assert {r.item for r in got.collect()} == {"gone"} and got.count() == 500
+        assert {(r.item, r.at): (r.arrived, r.orphaned, r.reopened) for r in moves.collect()} == {("gone", at(3)): (500, 500, 0), ("there", at(3)): (500, 0, 0), ("there", at(4)): (0, 0, 500)}
+
+
+def test_months_without_events_have_a_row(spark):
+    moves = spark.createDataFrame([("s", at(0), 3, 2, 0, 0), ("s", at(24 * 90), 0, 0, 1, 0), ("s", None, 1, 1, 0, 0)], "space string, at timestamp_ntz, arrived int, orphaned int, resolved int, reopened int")
+    got = [(r.period, r.arrived, r.pending) for r in orphans.by_period(moves).orderBy("period").collect()]
+    assert got == [(None, 1, 1), ("2025-01", 3, 3), ("2025-02", 0, 3), ("2025-03", 0, 3), ("2025-04", 0, 2)]
+
+
 def test_outputs(spark):
     l1 = spark.createDataFrame(
         [

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import skew
 from graphloom.operators.skew import hot_keys, is_blank, neighbour, ranked, with_hot
 
 
@@ -22,6 +23,24 @@ def test_hot_keys(spark):
     assert marked.where("slice is null").count() == df.where("k is not null").count()
 
 
+def test_limit_is_absolute(spark):
+    df = spark.range(40_000).select((F.col("id") % 200).alias("k"), "id")
+    assert hot_keys(df, ["k"], hot_rows=150).count() == 200 and hot_keys(df, ["k"], hot_rows=200) is None
+
+
+def test_many_hot_keys_are_salted(spark, monkeypatch):
+    df = spark.range(3_000).select((F.col("id") % 30).alias("k"), "id")
+    right = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 7).alias("v"))
+    want = sorted((k, i, k * 7) for i in range(3_000) if (k := i % 30) < 20)
+    for limit in (10_000, 5):
+        monkeypatch.setattr(skew, "MOST_BROADCAST", limit)
+        hot = hot_keys(df.where("k < 15 or id < 1500"), ["k"], hot_rows=60)
+        assert hot.count() == 15
+        assert with_hot(df, hot, ["k"], F.lit(1)).where("slice = 1").count() == 1_500
+        assert sorted(map(tuple, skew.looked_up(df, right, ["k"], hot).select("k", "id", "v").collect())) == want
+        assert skew.looked_up(df, right, ["k"], hot, "left").where("v is null").count() == 1_000
+
+
 def test_ranked_large_groups(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
@@ -39,8 +58,8 @@ def test_neighbour_over_months(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "b", None]), dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randrange(900), minutes=i), f"v{i}") for i in range(300)] + [("a", None, "none")]
     df = spark.createDataFrame(rows, "k string, at timestamp_ntz, v string")
-    for back in (True, False):
-        got = {r.v: r.near for r in neighbour(df, ["k"], ["at", "v"], "v", "near", back).collect()}
+    for back, hot_rows in ((True, 10**6), (False, 10**6), (True, 5), (False, 5)):
+        got = {r.v: r.near for r in neighbour(df, ["k"], ["at", "v"], "v", "near", back, hot_rows).collect()}
         for k in ("a", "b", None):
             line = [v for kk, at, v in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[2])) if kk == k]
             for i, v in enumerate(line):
