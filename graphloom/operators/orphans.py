@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.skew import HOT_ROWS, hot_keys, is_blank, looked_up, neighbour, with_hot
-from graphloom.session import written
+from graphloom.session import checkpoint, written
 
 KEY = ["space", "scope", "part", "item"]
 EVENT = [*KEY, "at", "opened", "known", "name"]
@@ -172,6 +172,7 @@ def by_period(transitions: DataFrame) -> DataFrame:
     """
     counts = ("arrived", "orphaned", "resolved", "reopened")
     months = transitions.groupBy("space", F.trunc(F.col("at").cast("date"), "month").alias("month")).agg(*[F.sum(c).cast("bigint").alias(c) for c in counts])
+    months = checkpoint(months)  # a row a month, read three times
     every = months.where(F.col("month").isNotNull()).groupBy("space").agg(F.min("month").alias("a"), F.max("month").alias("b"))
     every = every.select("space", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
     empty = every.join(months.select("space", "month"), ["space", "month"], "left_anti")
