@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.skew import HOT_ROWS, hot_keys, is_blank, looked_up, neighbour, with_hot
-from graphloom.session import checkpoint, written
+from graphloom.session import checkpoint
 
 KEY = ["space", "scope", "part", "item"]
 EVENT = [*KEY, "at", "opened", "known", "name"]
@@ -126,7 +126,7 @@ def _fold_hot(events: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame, D
     met = moments.withColumn("key", keys).join(starts.withColumnRenamed("s", "slice"), ["key", "slice"])
     line = Window.partitionBy("key", "slice").orderBy("at")
     met = met.withColumns({"after": F.sum("turn").over(line) + F.col("o"), "total": F.sum("arrived").over(line) + F.col("k")})
-    met = written(met.select(*KEY, "key", "at", "turn", "arrived", "after", "total"))
+    met = checkpoint(met.select(*KEY, "key", "at", "turn", "arrived", "after", "total"))
     waiting = once.withColumn("key", keys)
     dead = met.where("after <= 0 and arrived > 0").select("key", "at")
     orphans = looked_up(waiting, dead, ["key", "at"], hot_keys(waiting, ["key", "at"], hot_rows))
@@ -140,7 +140,7 @@ def in_batches(events: DataFrame, batches: int = BATCHES, hot_rows: int = HOT_RO
     The events are made once and written; their times' quantiles bound the batches. References without a time are
     orphans of no moment and make no transition.
     """
-    events = written(events)
+    events = checkpoint(events)
     hot = hot_keys(events.where(F.col("at").isNotNull()), KEY, hot_rows)
     moment = F.unix_micros(F.col("at").cast("timestamp"))
     cuts = events.where("known = 1").select(moment.alias("t")).agg(F.percentile_approx("t", [i / batches for i in range(1, batches)] or [1.0], 100)).first()[0] or []
@@ -156,7 +156,7 @@ def in_batches(events: DataFrame, batches: int = BATCHES, hot_rows: int = HOT_RO
         moves.append(moving)
         opened.append(orphans)
         if high is not None:
-            state = written(state)
+            state = checkpoint(state)
     transitions, found = moves[0], opened[0]
     for more in moves[1:]:
         transitions = transitions.unionByName(more)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.skew import HOT_ROWS, hot_keys, neighbour, with_hot
+from graphloom.session import checkpoint
 
 CHUNK_ROWS = 16
 _SLICES = 256
@@ -48,14 +49,28 @@ def version_pairs(snapshots: DataFrame) -> DataFrame:
     return chained.where(F.col("previous_id").isNotNull()).select("version_id", "previous_id")
 
 
-def chunked(rows: DataFrame, chunk_rows: int = CHUNK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def sliced_versions(rows: DataFrame, snapshots: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The versions of every project that has a version of more than hot_rows rows; None if there is none.
+
+    All of a project's versions are cut alike, so that the chunks of a large version match those of a small one beside it.
+    """
+    hot = hot_keys(rows.select("version_id"), ["version_id"], hot_rows)
+    if hot is None:
+        return None
+    named = snapshots.select("version_id", "project_id")
+    projects = named.join(hot, "version_id").select(F.col("project_id").alias("p")).distinct()
+    alike = named.join(projects, F.col("project_id").eqNullSafe(F.col("p")), "left_semi").select("version_id")
+    return checkpoint(alike.unionByName(hot).distinct())
+
+
+def chunked(rows: DataFrame, sliced: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The valid records, each with the slice and the chunk of its version's sorted records that it lies in.
 
-    Only a hot version is cut into slices by key hash, so that no task sorts all of it.
+    The versions of `sliced` are cut into slices by key hash, so that no task sorts all of one.
     """
     key_hash = F.xxhash64("key1", F.col("key1").isNull(), "key2", F.col("key2").isNull())
     rows = rows.withColumn("key_hash", key_hash)
-    rows = with_hot(rows, hot_keys(rows, ["version_id"], hot_rows), ["version_id"], F.pmod(F.shiftright("key_hash", 20), F.lit(_SLICES)))
+    rows = with_hot(rows, sliced, ["version_id"], F.pmod(F.shiftright("key_hash", 20), F.lit(_SLICES)))
     rows = rows.withColumn("slice", F.coalesce("slice", F.lit(-1).cast("bigint")))
     placed = rows.repartition("version_id", "record_kind", "slice")  # the one shuffle that all steps below share
     valid = placed.groupBy(*_ID, "slice", "key_hash").agg(F.max(F.struct("loaded_at", "d1", "d2")).alias("row"))
@@ -87,7 +102,7 @@ def changed_chunks(cut: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def snapshot_changes(rows: DataFrame, snapshots: DataFrame, chunk_rows: int = CHUNK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Records added, removed or changed since the previous version: version_id, record_kind, key1, key2, change."""
-    cut = chunked(rows, chunk_rows, hot_rows)
+    cut = chunked(rows, sliced_versions(rows, snapshots, hot_rows), chunk_rows)
     differing = changed_chunks(cut, version_pairs(snapshots))
     sided = cut.join(differing, ["version_id", "record_kind", "slice", "chunk"])
     now, then = [F.max(F.when(F.col("side") == s, F.struct("d1", "d2"))) for s in (1, 0)]

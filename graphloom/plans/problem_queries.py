@@ -36,8 +36,9 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    rows = hierarchy.descendants(hierarchy.block_links(table(spark, d, "block_summaries")))
-    return rows.withColumnsRenamed({"grp": "version_id", "ancestor": "block_id", "node": "descendant_id"})
+    """Every block's descendants as a range: those of its root with first after its own and up to last."""
+    rows = hierarchy.hierarchies(hierarchy.block_links(table(spark, d, "block_summaries")), ("interval", "children"))
+    return rows.where("depth >= 0").select(F.col("grp").alias("version_id"), F.col("node").alias("block_id"), F.col("root").alias("root_block_id"), "first", "last", "n_descendants")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -161,13 +162,27 @@ WHERE cur.v IS NULL OR old.v IS NULL OR cur.v.a IS DISTINCT FROM old.v.a OR cur.
 WITH RECURSIVE {_LATEST_BLOCKS}
 SELECT t.version_id, t.block_id, coalesce(r.root_block_id, '') AS root_block_id, coalesce(r.depth, -1) AS depth
 FROM tied t LEFT JOIN tree r ON t.version_id = r.version_id AND t.block_id = r.block_id""",
+    # Paths sorted part by part are the order in which a walk by id enters nodes; who has a node in its path is below it.
     "p5_descendants": f"""
+WITH RECURSIVE {_LATEST_BLOCKS.replace("block_id AS path", "[block_id] AS path").replace("r.path || '/' || t.block_id", "list_append(r.path, t.block_id)")},
+below AS (SELECT version_id, block_id, count(*) - 1 AS n FROM (SELECT version_id, unnest(path) AS block_id FROM tree) GROUP BY ALL),
+line AS (SELECT *, row_number() OVER (PARTITION BY version_id, root_block_id ORDER BY path) - 1 AS first FROM tree)
+SELECT version_id, block_id, root_block_id, first, first + n AS last, n AS n_descendants FROM line JOIN below USING (version_id, block_id)""",
+    # Nodes on or leading into cycles: the cycle's nodes are those that reach themselves; the way down begins at the least of them.
+    "p5_paths": f"""
 WITH RECURSIVE {_LATEST_BLOCKS},
-pairs AS (
-  SELECT t.version_id, t.parent AS block_id, t.block_id AS descendant_id, 1::BIGINT AS distance
-  FROM tied t JOIN tree r ON t.version_id = r.version_id AND t.block_id = r.block_id WHERE t.parent IS NOT NULL
+below AS (SELECT version_id, block_id, count(*) - 1 AS n FROM (SELECT version_id, unnest(string_split(path, '/')) AS block_id FROM tree) GROUP BY ALL),
+loose AS (SELECT t.* FROM tied t LEFT JOIN tree r USING (version_id, block_id) WHERE r.block_id IS NULL),
+up AS (
+  SELECT version_id, block_id, parent AS above FROM loose
+  UNION
+  SELECT u.version_id, u.block_id, l.parent FROM up u JOIN loose l ON l.version_id = u.version_id AND l.block_id = u.above),
+ring AS (SELECT version_id, block_id FROM up WHERE block_id = above),
+least AS (SELECT u.version_id, u.block_id, min(u.above) AS top FROM up u JOIN ring r ON r.version_id = u.version_id AND r.block_id = u.above GROUP BY ALL),
+down AS (
+  SELECT version_id, block_id, top, block_id AS path FROM least WHERE block_id = top
   UNION ALL
-  SELECT p.version_id, t.parent, p.descendant_id, p.distance + 1
-  FROM pairs p JOIN tied t ON p.version_id = t.version_id AND p.block_id = t.block_id WHERE t.parent IS NOT NULL)
-SELECT version_id, block_id, descendant_id, distance FROM pairs""",
+  SELECT l.version_id, l.block_id, d.top, d.path || '/' || l.block_id FROM down d JOIN loose l ON l.version_id = d.version_id AND l.parent = d.block_id WHERE l.block_id <> d.top)
+SELECT version_id, block_id, root_block_id, depth, path, n AS n_descendants, false AS back_edge FROM tree JOIN below USING (version_id, block_id)
+UNION ALL SELECT version_id, block_id, '', -1, path, NULL, block_id = top FROM down""",
 }

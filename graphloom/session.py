@@ -48,17 +48,22 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: made once, read as often as needed, and only the columns that are.
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut, rows are made once and read as often as needed.
 
-    The table stays until the folder is cleared, as any plan made from it may still run.
+    Read back, a table has its true size and none of what the optimizer inferred of its making; estimates that loops carry
+    from round to round would double their digits each time. The table stays until `dropped`, or until the folder is
+    cleared, as any plan made from it may still run.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def dropped(df: DataFrame) -> None:
+    """Delete the table of a checkpoint that nothing will read again, such as a loop's last round but one."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._table)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

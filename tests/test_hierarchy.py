@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import hierarchy as h
 
 DDL = "version_id string, block_id string, parent_block_id string, loaded_at timestamp_ntz, root string, depth int"
-MORE = ("path", "children", "closure", "back")
+MORE = ("path", "children", "interval", "back")
 
 
 def forest(seed, groups=6, n=60):
@@ -41,13 +41,21 @@ def test_brute_force(spark, seed, bound):
     backs = {}
     for (g, n), r in got.items():
         if r.depth >= 0:
-            assert len(r.path) == r.depth + 1 and r.path[0] == r.root and r.path[-1] == n and r.ancestors == r.path[:-1] and not r.back_edge
+            assert len(r.path) == r.depth + 1 and r.path[0] == r.root and r.path[-1] == n and not r.back_edge and r.top == r.root
             assert all(parent[g, b] == a for a, b in zip(r.path, r.path[1:]))
             assert r.n_descendants == sum(1 for (g2, m), x in got.items() if g2 == g and x.depth > r.depth and n in x.path)
         else:
-            assert r.ancestors == [] and r.n_descendants is None and r.path[-1] == n
+            assert r.n_descendants is None and r.path[-1] == n and r.path[0] == r.top
             if r.back_edge:
                 backs.setdefault((g, n), r)
+    comps = {}
+    for (g, n), r in got.items():
+        comps.setdefault((g, r.top), []).append(r)
+    for members in comps.values():
+        line = sorted(members, key=lambda r: r.path)
+        assert [r.first for r in line] == [*range(len(line))]
+        for r in line:
+            assert r.last == r.first + sum(1 for x in members if r.node in x.path) - 1
     cycles = set()
     for (g, n), (_, d) in want.items():
         if d < 0:
@@ -69,6 +77,28 @@ def test_deep_chain(spark):
         assert h.hierarchies(links, (), bound).agg(F.max("depth")).first()[0] == 2999
 
 
+def test_chain_as_deep_as_the_bound(spark):
+    """Ranges of a chain of 100,000 fit a task easily; its paths would be five thousand million names."""
+    n = 100_000
+    links = spark.range(n).select(F.lit("v").alias("grp"), F.col("id").cast("string").alias("node"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"))
+    got = h.hierarchies(links, ("interval", "children")).agg(F.max("depth"), F.sum("n_descendants"), F.min("last"), F.count("*")).first()
+    assert tuple(got) == (n - 1, n * (n - 1) // 2, n - 1, n)
+
+
+def test_wide_paths_leave_in_small_batches(spark, monkeypatch):
+    rows = [("v", f"b{i}", f"b{i - 1}" if i else None) for i in range(900)]
+    got = h.hierarchies(spark.createDataFrame(rows, "grp string, node string, parent string"), ("path",))
+    assert got.agg(F.sum(F.size("path"))).first()[0] == 900 * 901 // 2
+
+
+def test_star_of_hot_parents(spark):
+    links = spark.range(4_000).select(F.lit("v").alias("grp"), F.col("id").cast("string").alias("node"), F.when(F.col("id") > 0, F.lit("0")).alias("parent"))
+    ends = h.jumped(links, hot_rows=100)
+    assert ends.where("done and far = '0'").count() == 4_000 and ends.agg(F.sum("depth")).first()[0] == 3_999
+    tour = {r.node: (r.first, r.last) for r in h.toured(links, hot_rows=100).collect()}
+    assert tour["0"] == (0, 3_999) and {a for a, _ in tour.values()} == {*range(4_000)} and all(a == b for k, (a, b) in tour.items() if k != "0")
+
+
 def test_defined_cases(spark):
     t = lambda x: __import__("datetime").datetime(2025, 1, x)
     rows = [("v", "a", "b", t(1)), ("v", "a", None, t(2)), ("v", "b", "a", None), ("v", "s", "s", t(1)), ("v", None, "a", t(1)), (None, "z", "a", t(1)), ("w", "b", "a", t(1)), ("v", "b", "a", None)]

@@ -59,7 +59,7 @@ def test_brute_force(spark, seed, chunk_rows, hot_rows):
 
 def test_matching_chunks_are_discarded(spark):
     features = [(v, f"f{k}", "l", "d" if (v, k) != ("b", 77) else "other", T0, "") for v in "ab" for k in range(400)]
-    cut = sd.chunked(sd.records(spark.createDataFrame(features, F_DDL), "feature", "feature_id", None, ["label", "description"]), 8)
+    cut = sd.chunked(sd.records(spark.createDataFrame(features, F_DDL), "feature", "feature_id", None, ["label", "description"]), None, 8)
     pairs = spark.createDataFrame([("b", "a")], "version_id string, previous_id string")
     assert sd.changed_chunks(cut, pairs).count() == 2  # one chunk, on both sides
     assert cut.select("chunk").distinct().count() > 20
