@@ -15,6 +15,7 @@ bytes that are no UTF-8 decode to U+FFFD, one for each broken sequence.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Iterable, Iterator
@@ -30,6 +31,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _MOST_STATES = 100_000
 _MOST_PIECES = 200_000
 _LONGEST_KEPT = 64
+#: No vocabulary that is broadcast is larger than this.
+MOST_BYTES = 64 * 2**20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json", folder: str | None = None) -> str:
@@ -243,11 +246,11 @@ def decode_stream(vocabulary: Vocabulary, ids: Iterable[int]) -> Iterator[str]:
         yield left
 
 
-_MADE: dict[int, Transducer] = {}  # one for each worker and vocabulary
+_MADE: dict[bytes, Transducer] = {}  # one for each worker and vocabulary
 
 
 def _transducer(text: str) -> Transducer:
-    key = hash(text)
+    key = hashlib.sha256(text.encode()).digest()
     if key not in _MADE:
         _MADE.clear()
         _MADE[key] = Transducer(Vocabulary(text))
@@ -255,7 +258,9 @@ def _transducer(text: str) -> Transducer:
 
 
 def _shared(spark: SparkSession, path: str):
-    """The tokenizer's file, sent to the executors once; its size is that of a vocabulary, about 1.5 MB."""
+    """The tokenizer's file, sent to the executors once; its size is that of a vocabulary, about 1.5 MB, and checked."""
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ValueError(f"{path} has more than {MOST_BYTES} bytes and is no vocabulary to broadcast")
     with open(path, encoding="utf-8") as file:
         return spark.sparkContext.broadcast(file.read())
 

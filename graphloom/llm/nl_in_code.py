@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.lexical import language_of, spans_pattern
-from graphloom.operators.skew import HOT_ROWS, hot_keys, spread
+from graphloom.operators.skew import HOT_ROWS, hot_keys, looked_up, spread
 from graphloom.session import checkpoint
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "zh", "ja")
@@ -250,17 +250,13 @@ def file_languages(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     places = checkpoint(given.mapInArrow(_places, _PLACES_DDL))
     texts = places.where(F.col("text").isNotNull()).groupBy("h1", "h2").agg(F.first("text").alias("text"))
     labels = texts.select("h1", "h2", "text").mapInArrow(_labels, "h1 bigint, h2 bigint, nl_lang string, bytes bigint")
-    # A repeated file repeats its places. A copied text that many files hold is joined by broadcast, its label being one of few.
+    # A repeated file repeats its places. The labels of a copied text that many files hold come to its places.
     where = places.drop("text").distinct()
     hot = hot_keys(where, ["h1", "h2"], hot_rows)
-    if hot is None:
-        labelled = where.join(labels, ["h1", "h2"])
-    else:
+    if hot is not None:
         labels = checkpoint(labels)
-        few = F.broadcast(hot)
-        labelled = where.join(few, ["h1", "h2"], "left_anti").join(labels, ["h1", "h2"]).unionByName(
-            where.join(few, ["h1", "h2"]).join(F.broadcast(labels.join(few, ["h1", "h2"])), ["h1", "h2"])
-        )
+    named = labels.groupBy("h1", "h2").agg(F.collect_list(F.struct("nl_lang", "bytes")).alias("found"))  # a text has eight languages at most
+    labelled = looked_up(where, named, ["h1", "h2"], hot).select("file_id", "times", "file_bytes", F.inline("found"))
     weighed = labelled.groupBy("file_id", "nl_lang").agg(F.sum(F.col("bytes") * F.col("times")).alias("n_bytes"), F.max("file_bytes").alias("size"))
     return weighed.select("file_id", "nl_lang", "n_bytes", (F.col("n_bytes") / F.col("size")).alias("share"))
 

@@ -32,6 +32,8 @@ from graphloom.session import checkpoint
 
 #: More budgets than this are not collected; the table of budgets is fixed and small.
 MOST_BUDGETS = 1000
+#: More size classes than this, over all budgets, are not gathered; it is an error, nothing is left out.
+MOST_CLASSES = 5_000_000
 #: Placements up to this many are broadcast (24 bytes each); beyond, they are joined.
 MOST_BROADCAST = 1_000_000
 
@@ -114,7 +116,10 @@ def packed(counts: DataFrame, budgets: DataFrame, hot_rows: int = HOT_ROWS) -> D
     nothing = items.where("n_tokens = 0").select(*columns, F.lit("m-0").alias("container_id"))
     loose = items.where("not whole and n_tokens > 0")
     classes: dict[str, dict[int, int]] = {b: {} for b, _ in capacities}
-    for b, size, n in loose.groupBy("budget_id", "n_tokens").count().collect():  # at most a row a token of each capacity
+    kinds = loose.groupBy("budget_id", "n_tokens").count().limit(MOST_CLASSES + 1).collect()  # at most a row a token of each capacity
+    if len(kinds) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} different sizes over all budgets")
+    for b, size, n in kinds:
         classes[b][size] = n
     runs = [(b, *run) for b, c in capacities for run in fill(c, classes[b])[0]]
     salts = F.broadcast(spark.createDataFrame([(b, s, -(-n // hot_rows)) for b, x in classes.items() for s, n in x.items() if n > hot_rows], "budget_id string, n_tokens bigint, slices bigint"))
@@ -135,7 +140,8 @@ def _looked_up(ranked: DataFrame, runs: list[tuple]) -> DataFrame:
     by: dict[str, list[np.ndarray]] = {}
     for b in {r[0] for r in runs}:
         own = np.array(sorted(r[1:] for r in runs if r[0] == b), dtype=np.int64)
-        by[b] = [own[:, 0], own[:, 1], own[:, 3], own[:, 4]]
+        sizes, begins = np.unique(own[:, 0], return_index=True)
+        by[b] = [sizes, np.append(begins, len(own)), own[:, 1], own[:, 3], own[:, 4]]
     shared = ranked.sparkSession.sparkContext.broadcast(by)
     names = ["budget_id", "doc_id", "piece_no", "start", "n_tokens", "container_id"]
 
@@ -146,10 +152,13 @@ def _looked_up(ranked: DataFrame, runs: list[tuple]) -> DataFrame:
             number = np.zeros(part.num_rows, np.int64)
             for b in set(budgets):
                 mine = budgets == b
-                sizes, first, container, fit = shared.value[b]
-                # Ranks of one size are below 2^40, sizes below 2^23: one number orders both.
-                at = np.searchsorted((sizes << 40) | first, (size[mine] << 40) | rank[mine], side="right") - 1
-                number[mine] = container[at] + (rank[mine] - first[at]) // fit[at]
+                sizes, begins, first, container, fit = shared.value[b]
+                where, own, ranks = np.flatnonzero(mine), size[mine], rank[mine]
+                for s in np.unique(own):  # the placements of a size lie together, in order of their first rank
+                    k = np.searchsorted(sizes, s)
+                    these = own == s
+                    at = begins[k] + np.searchsorted(first[begins[k] : begins[k + 1]], ranks[these], side="right") - 1
+                    number[where[these]] = container[at] + (ranks[these] - first[at]) // fit[at]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in names[:-1]), pa.array([f"m-{n}" for n in number.tolist()])], names=names
             )

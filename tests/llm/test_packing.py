@@ -55,3 +55,16 @@ def test_empty(spark):
     assert packing.packed(spark.createDataFrame([(1, 2, "")], C_DDL), budgets.limit(0)).count() == 0
     report = packing.fill_report(packing.packed(spark.createDataFrame([(1, 20, "")], C_DDL), budgets), budgets)
     assert {r.budget_id: (r.n_containers, r.n_tokens) for r in report.collect()} == {"a": (2, 20), "b": (1, 20), "c": (20, 20)}
+
+
+def test_sizes_and_ranks_of_any_magnitude(spark):
+    """Sizes beyond 2^23 tokens, whose product with a rank's range would not fit a number."""
+    big = 2**33
+    counts = spark.createDataFrame([(i, big + i % 3, "x") for i in range(60)], C_DDL)
+    budgets = spark.createDataFrame([("w", 2**31 - 1, "")], B_DDL)
+    rows = packing.packed(counts, budgets).collect()
+    assert sum(r.n_tokens for r in rows) == sum(big + i % 3 for i in range(60))
+    used = defaultdict(int)
+    for r in rows:
+        used[r.container_id] += r.n_tokens
+    assert max(used.values()) <= 2**31 - 1
