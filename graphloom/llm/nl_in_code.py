@@ -48,6 +48,25 @@ for _w, _by in _WEIGHTS.items():  # a word that several languages have says less
     for _k in _by:
         _by[_k] = 1.0 / len(_by)
 
+#: Frequent function words of languages that are not told by name; a sentence that is nearer to one of them is of no language known here.
+OTHER_WORDS = {
+    "it": "il lo la gli le un uno una di del della dei delle degli dal dalla nel nella nei nelle sul sulla che chi cui non con per tra fra e è sono era ha hanno viene essere questo questa questi queste quello quella se quando come più meno anche ma ogni tutti tutte dopo prima senza solo sempre",
+    "nl": "de het een en van in op te dat die dit deze met voor niet geen is zijn was wordt worden werd heeft hebben als wanneer omdat door naar over onder tussen elke elk alle alleen ook maar nog dan bij uit tot na om wie wat welke zonder worden kan moet",
+    "sv": "och att det som en ett den är inte på för med av till från om när ska kan har hade var blir eller men så också alla varje innan efter utan",
+    "da": "og at det som en et den er ikke på for med af til fra om når skal kan har havde var bliver eller men så også alle hver før efter uden",
+    "pl": "i w na z do nie że się jest są był było oraz lub jeśli gdy kiedy dla od po przed przez który która które tego ten ta to jak tylko każdy wszystkie bez",
+    "tr": "ve bir bu için ile de da olan olarak ne daha çok gibi ama veya her kadar sonra önce değil ise tüm",
+    "ro": "și de la în cu nu este sunt a fost un o pe pentru din care că sau dacă când după fără toate fiecare",
+    "cs": "a v na se je že z do s pro není jsou byl bylo nebo když který která které ten ta to jak pouze každý všechny bez po před",
+}
+OTHER_LETTERS = {"it": "ìò", "sv": "å", "da": "åøæ", "pl": "łąęśźż", "tr": "ığş", "ro": "țășâ", "cs": "ěřůčž"}
+_OTHER: dict[str, dict[str, float]] = {}
+for _k, _v in OTHER_WORDS.items():
+    for _w in {*_v.split()}:
+        _OTHER.setdefault(_w, {})[_k] = 1.0 / (1 + sum(_w in x for x in _SETS.values()))
+#: Letters of Cyrillic that Russian doesn't have.
+_NOT_RUSSIAN = regex.compile("[іїєґўјљњћђџѓќѕ]")
+
 _WIDE = r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〆]"
 _WIDE_CHAR = regex.compile(_WIDE)
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
@@ -98,24 +117,28 @@ def comment_text(raw: str) -> str:
     return regex.sub(r"^(?:\#+!?|/{2,}!?)\s?", "", raw)
 
 
-def spans(language: str, content: str) -> Iterator[str]:
-    """The texts of all comments and string literals; line comments that follow each other line by line are one."""
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def spans(language: str, content: str) -> Iterator[tuple[str, int]]:
+    """The texts of all comments and string literals and the bytes they take in the file; line comments that follow each other line by line are one."""
     run: list[str] = []
-    end = -1
+    end, size = -1, 0
     for m in spans_pattern(language).finditer(content):
         comment = m.group("c")
         if comment is not None and not comment.startswith("/*"):
             if run and content[end : m.start()].strip(" \t\r") != "\n":
-                yield "\n".join(run)
-                run = []
+                yield "\n".join(run), size
+                run, size = [], 0
             run.append(comment_text(comment))
-            end = m.end()
+            end, size = m.end(), size + _size(comment)
         elif comment is not None:
-            yield comment_text(comment)
+            yield comment_text(comment), _size(comment)
         elif m.group("s") is not None:
-            yield literal_text(language, m.group("s"))
+            yield literal_text(language, m.group("s")), _size(m.group("s"))
     if run:
-        yield "\n".join(run)
+        yield "\n".join(run), size
 
 
 def latin_language(words: list[str]) -> str | None:
@@ -134,7 +157,16 @@ def latin_language(words: list[str]) -> str | None:
         elif w.endswith(("ción", "ciones")):
             score["es"] += 0.5
     best = max(score, key=score.get)
-    return best if score[best] >= max(0.75, 0.1 * len(words)) else None
+    if score[best] < max(0.75, 0.1 * len(words)):
+        return None
+    other = dict.fromkeys(OTHER_WORDS, 0.0)
+    for w in words:
+        for k, x in _OTHER.get(w, {}).items():
+            other[k] += x
+        for k, letters in OTHER_LETTERS.items():
+            if any(c in letters for c in w):
+                other[k] += 0.5
+    return best if score[best] >= max(other.values()) else None
 
 
 def sentence_language(sentence: str) -> str | None:
@@ -149,6 +181,8 @@ def sentence_language(sentence: str) -> str | None:
     if len(words) < LEAST_WORDS or len(words) < 0.6 * len(tokens):
         return None
     cyrillic = sum(1 for w in words if "Ѐ" <= w[0] <= "ӿ")
+    if cyrillic and sum(1 for w in words if _NOT_RUSSIAN.search(w)) * 20 > cyrillic:
+        return None
     if cyrillic:
         return "ru" if cyrillic >= LEAST_WORDS and cyrillic >= 0.5 * len(words) else None
     return latin_language(words)
@@ -186,8 +220,8 @@ def span_languages(text: str) -> dict[str, int]:
     return found
 
 
-_PLACES = pa.schema([("file_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("times", pa.int64()), ("file_bytes", pa.int64()), ("text", pa.string())])
-_PLACES_DDL = "file_id bigint, h1 bigint, h2 bigint, times bigint, file_bytes bigint, text string"
+_PLACES = pa.schema([("file_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("raw_bytes", pa.int64()), ("file_bytes", pa.int64()), ("text", pa.string())])
+_PLACES_DDL = "file_id bigint, h1 bigint, h2 bigint, raw_bytes bigint, file_bytes bigint, text string"
 _MOST_SEEN = 200_000  # hashes of sent texts that a task remembers; a forgotten text is sent again
 
 
@@ -211,18 +245,18 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = content.as_py()
             size = len(text.encode("utf-8", "surrogatepass"))
             own: dict[tuple[int, int], list] = {}
-            for span in spans(language, text):
+            for span, taken in spans(language, text):
                 if not any(c.isalpha() for c in span):
                     continue
                 data = span.encode("utf-8", "replace")
-                own.setdefault(_halves(data), [0, data])[0] += 1
-            for key, (times, data) in own.items():
+                own.setdefault(_halves(data), [0, data])[0] += taken
+            for key, (taken, data) in own.items():
                 first = key not in seen
                 if first:
                     if len(seen) >= _MOST_SEEN:
                         seen.clear()
                     seen.add(key)
-                rows.append((file_id.as_py(), *key, times, size, data.decode() if first else None))
+                rows.append((file_id.as_py(), *key, taken, size, data.decode() if first else None))
             if len(rows) >= 2000:
                 yield _columns(rows, _PLACES)
                 rows = []
@@ -230,13 +264,13 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _columns(rows, _PLACES)
 
 
-_LABELS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("nl_lang", pa.string()), ("bytes", pa.int64())])
+_LABELS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("nl_lang", pa.string()), ("part", pa.float64())])
 
 
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches:
         rows = [
-            (h1, h2, language, n)
+            (h1, h2, language, n / max(1, _size(text)))
             for h1, h2, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)
             for language, n in span_languages(text).items()
         ]
@@ -245,18 +279,22 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def file_languages(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """file_id, nl_lang, n_bytes and share (of the file's bytes) of every natural language in every file."""
+    """file_id, nl_lang, n_bytes and share (of the file's bytes) of every natural language in every file.
+
+    A comment or literal takes part with the bytes it has in the file, marks and escapes included, by what share of its text
+    the sentences of a language are; so a file's shares add up to one at most.
+    """
     given = spread(files.select("file_id", "path", "language", "content").where("content is not null and content <> ''"))
     places = checkpoint(given.mapInArrow(_places, _PLACES_DDL))
     texts = places.where(F.col("text").isNotNull()).groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    labels = texts.select("h1", "h2", "text").mapInArrow(_labels, "h1 bigint, h2 bigint, nl_lang string, bytes bigint")
+    labels = texts.select("h1", "h2", "text").mapInArrow(_labels, "h1 bigint, h2 bigint, nl_lang string, part double")
     # A repeated file repeats its places. The labels of a copied text that many files hold come to its places.
     where = places.drop("text").distinct()
     hot = hot_keys(where, ["h1", "h2"], hot_rows)
     if hot is not None:
         labels = checkpoint(labels)
-    named = labels.groupBy("h1", "h2").agg(F.collect_list(F.struct("nl_lang", "bytes")).alias("found"))  # a text has eight languages at most
-    labelled = looked_up(where, named, ["h1", "h2"], hot).select("file_id", "times", "file_bytes", F.inline("found"))
-    weighed = labelled.groupBy("file_id", "nl_lang").agg(F.sum(F.col("bytes") * F.col("times")).alias("n_bytes"), F.max("file_bytes").alias("size"))
+    named = labels.groupBy("h1", "h2").agg(F.collect_list(F.struct("nl_lang", "part")).alias("found"))  # a text has eight languages at most
+    labelled = looked_up(where, named, ["h1", "h2"], hot).select("file_id", "raw_bytes", "file_bytes", F.inline("found"))
+    weighed = labelled.groupBy("file_id", "nl_lang").agg(F.round(F.sum(F.col("part") * F.col("raw_bytes")), 3).alias("n_bytes"), F.max("file_bytes").alias("size"))
     return weighed.select("file_id", "nl_lang", "n_bytes", (F.col("n_bytes") / F.col("size")).alias("share"))
 
