@@ -1,7 +1,14 @@
 """Which definition a call means: a cascade of tiers over joins, of which the first that finds anything wins.
 
-Definitions are (node_id, name, file, package, node_ord), call sites (caller, name, file, package). Call sites are made
-distinct before they meet the candidates, names with many definitions are only counted.
+Definitions are (node_id, name, file, package, node_ord, type), call sites (caller, name, file, package). What the nearer
+tiers find is one definition. What only the name or a dynamic call finds is all definitions of the name: such a call
+stays one row with their number (target null) until `expanded` gives it a row for each, so counts never need the pairs.
+
+How a language looks for functions is a column, strategy: file (in the file, then imports), package (in the package, then
+imports), global (imports only) or null for languages without rules, whose calls are resolved by name alone.
+
+Defined cases: a call of a name without definitions has no row, unless an import names another; a null name, file or
+package matches nothing; of several definitions the one with the least node_ord is first; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -37,54 +44,81 @@ def by_alias(calls: DataFrame, aliases: DataFrame, definitions: DataFrame) -> Da
     return calls.join(meant.drop("original"), ["file", "name"], "left")
 
 
-def resolve(calls: DataFrame, definitions: DataFrame, aliases: DataFrame | None = None, dynamic: F.Column | None = None) -> DataFrame:
+def resolve(calls: DataFrame, definitions: DataFrame, aliases: DataFrame | None = None, dynamic: F.Column | None = None, strategy: F.Column | None = None) -> DataFrame:
     """Of every call site its target, resolution and number of candidates.
 
-    Tiers: dynamic calls name all candidates (skipped_dynamic, no single target), then file and package (scope_rule), then
-    imports (import_alias), then the name alone (name_match, or name_match_ambiguous over FANOUT_LIMIT candidates).
+    Tiers: dynamic calls mean all candidates (skipped_dynamic), then the file or package (scope_rule), then imports
+    (import_alias), then all candidates of the name (name_match, or name_match_ambiguous over FANOUT_LIMIT). target is
+    null where all candidates are meant; strategy is by file if it isn't given.
     """
-    met = by_scope(calls, definitions)
+    ruled = strategy if strategy is not None else F.lit("file")
+    met = by_scope(calls.withColumn("__strategy", ruled).withColumn("__dynamic", dynamic if dynamic is not None else F.lit(False)), definitions)
     met = by_alias(met, aliases, definitions) if aliases is not None else met.withColumn("by_alias", F.lit(None).cast("string"))
-    met = met.join(name_index(definitions), "name")
-    scope = F.coalesce("in_file", "in_package")
-    skipped = dynamic if dynamic is not None else F.lit(False)
-    how = F.when(skipped, "skipped_dynamic").when(scope.isNotNull(), "scope_rule").when(F.col("by_alias").isNotNull(), "import_alias").when(
+    met = met.join(name_index(definitions).select("name", "n_candidates"), "name", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+    how = F.col("__strategy")
+    scope = F.when(how == "file", F.col("in_file")).when(how == "package", F.col("in_package"))
+    alias = F.when(how.isNotNull(), F.col("by_alias"))
+    skipped = F.coalesce(F.col("__dynamic"), F.lit(False)) & how.isNotNull()
+    resolution = F.when(skipped, "skipped_dynamic").when(scope.isNotNull(), "scope_rule").when(alias.isNotNull(), "import_alias").when(
         F.col("n_candidates") > FANOUT_LIMIT, "name_match_ambiguous"
     ).otherwise("name_match")
-    target = F.when(skipped, None).otherwise(F.coalesce(scope, "by_alias", "first_node"))
-    return met.select(*calls.columns, target.alias("target"), how.alias("resolution"), "n_candidates")
+    target = F.when(~skipped, F.coalesce(scope, alias))
+    return met.select(*calls.columns, target.alias("target"), resolution.alias("resolution"), "n_candidates").where("target is not null or n_candidates > 0")
+
+
+def expanded(resolved: DataFrame, definitions: DataFrame, name: str = "name") -> DataFrame:
+    """resolved with a row for every definition that a call means."""
+    single = resolved.where(F.col("target").isNotNull())
+    every = definitions.select(F.col("name").alias(name), F.col("node_id").alias("__node"))
+    many = resolved.where(F.col("target").isNull()).join(every, name)
+    return single.unionByName(many.withColumn("target", F.col("__node")).select(*resolved.columns))
 
 
 def receivers(calls: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Calls of a method on a class (receiver, method): the node `receiver.method`, else the first such method in a file that defines the class."""
-    exact = definitions.select(F.concat_ws(".", "receiver", "name").alias("full"), "node_id", "node_ord").groupBy("full").agg(F.min_by("node_id", "node_ord").alias("exact"))
-    classes = definitions.select("file", F.col("name").alias("receiver")).distinct()
-    near = definitions.select("name", "file", "node_id", "node_ord").join(classes, "file").groupBy("receiver", F.col("name").alias("method")).agg(F.min_by("node_id", "node_ord").alias("near"))
-    met = calls.withColumn("full", F.concat_ws(".", "receiver", "method")).join(exact, "full", "left").join(near, ["receiver", "method"], "left")
+    """Calls of a method on a class (receiver, method): the definition that is named `receiver.method` in its node id, else the first of the method in a file that defines the class.
+
+    Only the classes and methods asked for are joined, never a file with itself.
+    """
+    bare = F.substring_index("node_id", "::", -1)
+    exact = definitions.groupBy(bare.alias("full"), F.col("name").alias("method")).agg(F.min_by("node_id", "node_ord").alias("exact"))
+    homes = definitions.where("type = 'class'").select("file", F.col("name").alias("receiver")).distinct()
+    firsts = definitions.groupBy(F.col("name").alias("method"), "file").agg(F.min(F.struct("node_ord", "node_id")).alias("first"))
+    wanted = calls.select("receiver", "method").distinct()
+    near = wanted.join(homes, "receiver").join(firsts, ["method", "file"]).groupBy("receiver", "method").agg(F.min("first").getField("node_id").alias("near"))
+    met = calls.withColumn("full", F.concat_ws(".", "receiver", "method")).join(exact, ["full", "method"], "left").join(near, ["receiver", "method"], "left")
     return met.select(*calls.columns, F.coalesce("exact", "near").alias("target"))
 
 
-def extends_edges(classes: DataFrame, definitions: DataFrame) -> DataFrame:
+def extends_edges(classes: DataFrame, definitions: DataFrame, aliases: DataFrame | None = None, strategy: F.Column | None = None) -> DataFrame:
     """Edges from classes (node_id, file, package, bases) to what their bases resolve to; a dotted base counts by its last part."""
-    sites = classes.select(F.col("node_id").alias("caller"), F.explode(F.transform("bases", lambda b: F.substring_index(b, ".", -1))).alias("name"), "file", "package").distinct()
-    return call_edges(resolve(sites, definitions)).withColumn("type", F.lit("extends"))
+    sites = classes.select(F.col("node_id").alias("caller"), F.explode(F.transform("bases", lambda b: F.substring_index(b, ".", -1))).alias("name"), "file", "package", *[c for c in classes.columns if c == "language"]).distinct()
+    found = expanded(resolve(sites, definitions, aliases, None, strategy), definitions)
+    return call_edges(found).withColumn("type", F.lit("extends"))
 
 
-def resolve_receivers(calls: DataFrame, definitions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Calls (caller, receiver, method, file) of a method: on self or this, on a class of the file, or on an imported one.
+def resolve_receivers(calls: DataFrame, definitions: DataFrame, aliases: DataFrame, dynamic: F.Column | None = None, strategy: F.Column | None = None) -> DataFrame:
+    """Calls (caller, receiver, method, file, package, caller_class) as `resolve` gives them, with what is called on.
 
-    The first definition of the method in the call's file answers self and local classes, `receivers` imported ones.
+    A call on self or this in a method, or on a class of the file, means the first definition of the method in the file;
+    one on an imported name the method of that class (`receivers`). Calls that find nothing so, or have no receiver, are
+    resolved by their bare name. Dynamic calls mean all candidates, whatever they are called on.
     """
+    ruled = strategy if strategy is not None else F.lit("file")
+    skipped = F.coalesce(dynamic if dynamic is not None else F.lit(False), F.lit(False)) & ruled.isNotNull()
+    base = calls.withColumns({"__skip": skipped, "__ruled": ruled.isNotNull()})
     here = _first(definitions.withColumnRenamed("name", "method"), ["method", "file"], "in_file")
-    local = definitions.select("file", F.col("name").alias("receiver"), F.lit(True).alias("local")).distinct()
-    met = calls.join(here, ["method", "file"], "left").join(local, ["file", "receiver"], "left")
-    imported = aliases.select("file", F.col("alias").alias("receiver"), "original")
-    met = met.join(imported, ["file", "receiver"], "left")
+    local = definitions.where("type = 'class'").select("file", F.col("name").alias("receiver"), F.lit(True).alias("local")).distinct()
+    met = base.join(here, ["method", "file"], "left").join(local, ["file", "receiver"], "left")
+    met = met.join(aliases.select("file", F.col("alias").alias("receiver"), "original"), ["file", "receiver"], "left")
     far = receivers(met.where(F.col("original").isNotNull()).select(F.col("original").alias("receiver"), "method").distinct(), definitions)
     met = met.join(far.select(F.col("receiver").alias("original"), "method", F.col("target").alias("far")), ["original", "method"], "left")
-    own = F.col("receiver").isin("self", "this") | F.coalesce("local", F.lit(False))
-    how = F.when(own & F.col("in_file").isNotNull(), "scope_rule").when(F.col("far").isNotNull(), "import_alias")
-    return met.select(*calls.columns, F.when(how == "scope_rule", F.col("in_file")).when(how == "import_alias", F.col("far")).alias("target"), how.alias("resolution"))
+    own = F.col("receiver").isin("self", "this") & F.col("caller_class").isNotNull()
+    kind = F.when(F.col("__skip") | F.col("receiver").isNull(), None).when(own, "file").when(F.col("local"), "file").when(F.col("__ruled") & F.col("original").isNotNull(), "far")
+    hit = F.when(kind == "file", F.col("in_file")).when(kind == "far", F.col("far"))
+    met = met.select(*calls.columns, hit.alias("__hit"), F.when(kind == "file", "scope_rule").when(kind == "far", "import_alias").alias("__how"))
+    direct = met.where(F.col("__hit").isNotNull()).select(*calls.columns, F.col("__hit").alias("target"), F.col("__how").alias("resolution"), F.lit(1).cast("bigint").alias("n_candidates"))
+    bare = met.where(F.col("__hit").isNull()).select(*calls.columns, F.col("method").alias("name"))
+    return direct.unionByName(resolve(bare, definitions, aliases, dynamic, strategy).select(*calls.columns, "target", "resolution", "n_candidates"))
 
 
 def call_edges(resolved: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from graphloom.operators import diff, findings, graph, guidance, membrane, repor
 from graphloom.operators.skew import spread
 from graphloom.plans.bridge import view as V
 from graphloom.plans.reference_queries import _GRAPH, _ND, _OWN, _SD, _UP, NOW, ORACLES, QUERIES, P, VER, _base, _graph, _nodes, _owned, _raised, _structures, query
+from graphloom.session import checkpoint
 from graphloom.sources import documents, tree
 from graphloom.streaming import logs
 
@@ -713,10 +714,12 @@ def st04(s, d):
 @query("e09_receiver_tiers")
 def e09(s, d):
     files = _base(s, d, "source_files").select("path", F.col("content").alias("text"), paths.language_of(F.col("path")).alias("language")).distinct()
-    nodes = tree.nodes(spread(files)).where("error is null").withColumn("receiver", F.when(F.col("type") == "method", F.regexp_extract("node_id", r"([^.:]+)[.][^.]+$", 1)))
-    calls = tree.call_sites(spread(files)).where("receiver is not null").select("caller", "receiver", "method", "file").distinct()
-    found = resolve.resolve_receivers(calls, nodes.select("node_id", "name", "file", "node_ord", "receiver"), tree.aliases(spread(files)).select("file", "alias", "original"))
-    return found.groupBy("resolution").agg(F.count("*").alias("n"))
+    nodes = checkpoint(tree.nodes(spread(files)).where("error is null").select("node_id", "name", "file", "type", "node_ord", paths.package_of(F.col("file")).alias("package")))
+    owner = F.regexp_extract("caller", r"::(.*)[.][^.]+$", 1)
+    calls = tree.call_sites(spread(files)).select("caller", "receiver", "method", "file", paths.package_of(F.col("file")).alias("package"), F.when(owner != "", owner).alias("caller_class")).distinct()
+    found = resolve.resolve_receivers(calls, nodes, tree.aliases(spread(files)).select("file", "alias", "original"))
+    edges = F.when(F.col("target").isNull(), F.col("n_candidates")).otherwise(1)
+    return found.groupBy("resolution").agg(F.count("*").alias("n_calls"), F.sum(edges).cast("bigint").alias("n_edges"))
 
 
 @query("d17_incremental", "code_nodes l1_features", f"{_SD}, {_OWN}, st AS (SELECT o.project_id, feature_id, count(change) AS c FROM owned o LEFT JOIN delta USING (project_id, node_id) WHERE node_id IS NOT NULL GROUP BY 1, 2) SELECT 'delta' AS part, count(*) AS n FROM delta UNION ALL SELECT 'affected', count(*) FILTER (WHERE c > 0) FROM st UNION ALL SELECT 'inherited', count(*) FILTER (WHERE c = 0) FROM st UNION ALL SELECT 'unmapped', count(*) FROM delta x WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.project_id = x.project_id AND o.node_id = x.node_id)")

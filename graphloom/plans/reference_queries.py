@@ -356,10 +356,13 @@ _SCOPED = """met AS (SELECT c.*, (SELECT arg_min(node_id, node_ord) FROM definit
  (SELECT arg_min(node_id, node_ord) FROM definitions x WHERE x.name = c.name AND x.package = c.package) AS in_package FROM calls c)"""
 # Every file imports what the file before it defines.
 _ALIASED = """al AS (SELECT DISTINCT 'Brand#' || CAST(CAST(substr(file, 7) AS INTEGER) % 25 + 1 AS VARCHAR) AS file, name AS alias, name AS original FROM definitions)"""
+# How the caller's language looks for functions: in the file, in the package, by imports only, or (null) by name alone.
+_STRATEGY = "CASE {0} % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'package' WHEN 2 THEN 'global' END"
 _RESOLVED = f"""{_SCOPED}, {_ALIASED}, ni AS (SELECT name, count(*) AS n_candidates, arg_min(node_id, node_ord) AS first_node FROM definitions GROUP BY 1),
- res AS (SELECT m.caller, m.name, m.file, m.package, coalesce(in_file, in_package, CASE WHEN al.alias IS NOT NULL THEN first_node END, first_node) AS target,
- CASE WHEN coalesce(in_file, in_package) IS NOT NULL THEN 'scope_rule' WHEN al.alias IS NOT NULL THEN 'import_alias' WHEN n_candidates > 3 THEN 'name_match_ambiguous' ELSE 'name_match' END AS resolution, n_candidates
- FROM met m JOIN ni USING (name) LEFT JOIN al ON al.file = m.file AND al.alias = m.name)"""
+ tiers AS (SELECT m.caller, m.name, m.file, m.package, {_STRATEGY.format('m.caller')} AS strategy, CASE m.caller % 4 WHEN 0 THEN in_file WHEN 1 THEN in_package END AS scoped,
+  CASE WHEN m.caller % 4 < 3 AND al.alias IS NOT NULL THEN first_node END AS aliased, n_candidates FROM met m JOIN ni USING (name) LEFT JOIN al ON al.file = m.file AND al.alias = m.name),
+ res AS (SELECT caller, name, file, package, coalesce(scoped, aliased) AS target, CASE WHEN scoped IS NOT NULL THEN 'scope_rule' ELSE 'import_alias' END AS resolution, n_candidates FROM tiers WHERE coalesce(scoped, aliased) IS NOT NULL
+  UNION ALL SELECT t.caller, t.name, t.file, t.package, x.node_id, CASE WHEN n_candidates > 3 THEN 'name_match_ambiguous' ELSE 'name_match' END, n_candidates FROM tiers t JOIN definitions x ON x.name = t.name WHERE coalesce(scoped, aliased) IS NULL)"""
 
 
 def _aliases(s: SparkSession, d: str) -> DataFrame:
@@ -367,13 +370,13 @@ def _aliases(s: SparkSession, d: str) -> DataFrame:
     return V(s, d, "definitions").select(importer.alias("file"), F.col("name").alias("alias"), F.col("name").alias("original")).distinct()
 
 
-def _resolved(s: SparkSession, d: str) -> DataFrame:
-    return resolve.resolve(V(s, d, "calls"), V(s, d, "definitions"), _aliases(s, d))
+def _resolved(s: SparkSession, d: str, dynamic=None) -> DataFrame:
+    return resolve.resolve(V(s, d, "calls"), V(s, d, "definitions"), _aliases(s, d), dynamic, F.expr(_STRATEGY.format("caller")))
 
 
 @query("e04_resolution_cascade", "definitions calls", f"{_RESOLVED} SELECT * FROM res")
 def e04(s, d):
-    return _resolved(s, d)
+    return resolve.expanded(_resolved(s, d), V(s, d, "definitions"))
 
 
 @query("e05_scope_tier", "definitions calls", f"{_SCOPED} SELECT * FROM met")
@@ -386,34 +389,36 @@ def e06(s, d):
     return resolve.by_alias(V(s, d, "calls"), _aliases(s, d), V(s, d, "definitions"))
 
 
-@query("e07_fanout_escalation", "definitions calls", f"{_RESOLVED} SELECT resolution, n_candidates > 3 AS many, count(*) AS n FROM res GROUP BY 1, 2")
+@query("e07_fanout_escalation", "definitions calls", f"{_RESOLVED} SELECT resolution, n_candidates > 3 AS many, count(*) AS n_edges, count(DISTINCT (caller, name, file, package)) AS n_calls FROM res GROUP BY 1, 2")
 def e07(s, d):
-    return _resolved(s, d).groupBy("resolution", (F.col("n_candidates") > resolve.FANOUT_LIMIT).alias("many")).agg(F.count("*").alias("n"))
+    edges = F.when(F.col("target").isNull(), F.col("n_candidates")).otherwise(1)
+    return _resolved(s, d).groupBy("resolution", (F.col("n_candidates") > resolve.FANOUT_LIMIT).alias("many")).agg(F.sum(edges).cast("bigint").alias("n_edges"), F.count("*").alias("n_calls"))
 
 
-@query("e08_dynamic_dispatch", "definitions calls", f"{_RESOLVED} SELECT caller, name, CASE WHEN starts_with(package, 'ECONOMY') THEN 'skipped_dynamic' ELSE resolution END AS resolution, count(*) AS n FROM res GROUP BY 1, 2, 3")
+@query("e08_dynamic_dispatch", "definitions calls", f"""{_RESOLVED}, dyn AS (SELECT c.caller, c.name, 'skipped_dynamic' AS resolution, x.node_id AS target FROM calls c JOIN definitions x ON x.name = c.name WHERE starts_with(c.package, 'ECONOMY') AND c.caller % 4 < 3
+ UNION ALL SELECT caller, name, resolution, target FROM res WHERE NOT (starts_with(package, 'ECONOMY') AND caller % 4 < 3)) SELECT caller, name, resolution, target, count(*) AS n FROM dyn GROUP BY ALL""")
 def e08(s, d):
-    rows = resolve.resolve(V(s, d, "calls"), V(s, d, "definitions"), _aliases(s, d), F.startswith("package", F.lit("ECONOMY")))
-    return rows.groupBy("caller", "name", "resolution").agg(F.count("*").alias("n"))
+    rows = resolve.expanded(_resolved(s, d, F.startswith("package", F.lit("ECONOMY"))), V(s, d, "definitions"))
+    return rows.groupBy("caller", "name", "resolution", "target").agg(F.count("*").alias("n"))
 
 
-@query("e10_receiver_methods", "live_nodes", """defs AS (SELECT project_id, node_id, name, file, node_ord FROM live_nodes),
- calls_ AS (SELECT DISTINCT split_part(name, '_', 1) AS receiver, name AS method FROM live_nodes),
- classes AS (SELECT DISTINCT file, name AS receiver FROM defs),
- near_ AS (SELECT c.receiver, x.name AS method, min(struct_pack(a := x.node_ord, b := x.node_id)).b AS near_node FROM defs x JOIN classes c ON c.file = x.file GROUP BY 1, 2),
- exact_ AS (SELECT name AS full_name, min(struct_pack(a := node_ord, b := node_id)).b AS exact_node FROM defs GROUP BY 1)
- SELECT k.receiver, k.method, coalesce(exact_node, near_node) AS target FROM calls_ k LEFT JOIN exact_ ON full_name = k.receiver || '.' || k.method LEFT JOIN near_ n ON n.receiver = k.receiver AND n.method = k.method""")
+@query("e10_receiver_methods", "live_nodes code_edges", """defs AS (SELECT node_id, name, file, type, node_ord FROM live_nodes),
+ calls_ AS (SELECT DISTINCT a.name AS receiver, b.name AS method FROM code_edges e JOIN live_nodes a ON a.project_id = e.project_id AND a.node_id = e.from_node JOIN live_nodes b ON b.project_id = e.project_id AND b.node_id = e.to_node),
+ near_ AS (SELECT k.receiver, k.method, min(struct_pack(a := x.node_ord, b := x.node_id)).b AS near_node FROM calls_ k JOIN defs c ON c.type = 'class' AND c.name = k.receiver JOIN defs x ON x.name = k.method AND x.file = c.file GROUP BY 1, 2),
+ exact_ AS (SELECT k.receiver, k.method, min(struct_pack(a := x.node_ord, b := x.node_id)).b AS exact_node FROM calls_ k JOIN defs x ON x.name = k.method AND ends_with(x.node_id, '::' || k.receiver || '.' || k.method) GROUP BY 1, 2)
+ SELECT receiver, method, coalesce(exact_node, near_node) AS target FROM calls_ LEFT JOIN exact_ USING (receiver, method) LEFT JOIN near_ USING (receiver, method)""")
 def e10(s, d):
-    nodes = V(s, d, "live_nodes")
-    order = F.struct("node_ord", "node_id")
-    defs = nodes.select("node_id", "name", "file", order.alias("node_ord")).withColumn("receiver", F.lit(None).cast("string"))
-    calls = nodes.select(F.substring_index("name", "_", 1).alias("receiver"), F.col("name").alias("method")).distinct()
+    nodes = V(s, d, "live_nodes").select("project_id", "node_id", "name", "file", "type", "node_ord")
+    defs = nodes.select("node_id", "name", "file", "type", F.struct("node_ord", "node_id").alias("node_ord"))
+    ends = [nodes.select("project_id", F.col("node_id").alias(f"{side}_node"), F.col("name").alias(out)) for side, out in (("from", "receiver"), ("to", "method"))]
+    calls = V(s, d, "code_edges").join(ends[0], ["project_id", "from_node"]).join(ends[1], ["project_id", "to_node"]).select("receiver", "method").distinct()
     return resolve.receivers(calls, defs)
 
 
-@query("e11_call_edges", "definitions calls", f"{_RESOLVED} SELECT caller AS from_node, target AS to_node, 'calls' AS type, resolution, count(*) AS n FROM res WHERE target IS NOT NULL GROUP BY 1, 2, 3, 4")
+@query("e11_call_edges", "definitions calls", f"{_RESOLVED} SELECT caller AS from_node, target AS to_node, 'calls' AS type, resolution, count(*) AS n FROM res GROUP BY 1, 2, 3, 4")
 def e11(s, d):
-    return resolve.call_edges(_resolved(s, d)).groupBy("from_node", "to_node", "type", "resolution").agg(F.count("*").alias("n"))
+    found = resolve.expanded(_resolved(s, d), V(s, d, "definitions"))
+    return resolve.call_edges(found).groupBy("from_node", "to_node", "type", "resolution").agg(F.count("*").alias("n"))
 
 
 @query("e13_import_edges", "definitions calls", """src AS (SELECT file, arg_min(node_id, node_ord) AS from_node FROM definitions GROUP BY 1), i AS (SELECT DISTINCT file, name FROM calls)

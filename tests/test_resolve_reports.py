@@ -1,15 +1,16 @@
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import diff, projection, reports, resolve, views
 
-DEFS = "node_id string, name string, file string, package string, node_ord int, receiver string"
+DEFS = "node_id string, name string, file string, package string, node_ord int, type string"
 
 
 def definitions(spark):
     return spark.createDataFrame(
         [
-            ("a.py::A", "A", "a.py", "", 0, None), ("a.py::A.run", "run", "a.py", "", 1, "A"), ("b/b.py::B", "B", "b/b.py", "b", 2, None), ("b/b.py::B.run", "run", "b/b.py", "b", 3, "B"),
-            ("b/c.py::help", "help", "b/c.py", "b", 4, None), ("c/d.py::many", "many", "c/d.py", "c", 5, None), ("c/e.py::many", "many", "c/e.py", "c", 6, None), ("c/f.py::many", "many", "c/f.py", "c", 7, None), ("c/g.py::many", "many", "c/g.py", "c", 8, None),
+            ("a.py::A", "A", "a.py", "", 0, "class"), ("a.py::A.run", "run", "a.py", "", 1, "method"), ("b/b.py::B", "B", "b/b.py", "b", 2, "class"), ("b/b.py::B.run", "run", "b/b.py", "b", 3, "method"),
+            ("b/c.py::help", "help", "b/c.py", "b", 4, "function"), ("c/d.py::many", "many", "c/d.py", "c", 5, "function"), ("c/e.py::many", "many", "c/e.py", "c", 6, "function"), ("c/f.py::many", "many", "c/f.py", "c", 7, "function"), ("c/g.py::many", "many", "c/g.py", "c", 8, "function"),
         ],
         DEFS,
     )
@@ -18,20 +19,51 @@ def definitions(spark):
 def test_cascade(spark):
     calls = spark.createDataFrame([("x", "run", "a.py", ""), ("x", "help", "b/b.py", "b"), ("x", "many", "z.py", "z"), ("x", "help", "z.py", "z"), ("x", "alias", "z.py", "z"), ("x", "nothing", "z.py", "z"), (None, "help", None, None)], "caller string, name string, file string, package string")
     aliases = spark.createDataFrame([("z.py", "help", "many")], "file string, alias string, original string")
-    got = {(r.name, r.file): (r.target, r.resolution) for r in resolve.resolve(calls, definitions(spark), aliases).collect()}
-    assert got == {
-        ("run", "a.py"): ("a.py::A.run", "scope_rule"), ("help", "b/b.py"): ("b/c.py::help", "scope_rule"), ("many", "z.py"): ("c/d.py::many", "name_match_ambiguous"),
-        ("help", "z.py"): ("c/d.py::many", "import_alias"), ("help", None): ("b/c.py::help", "name_match"),
+    def edges(**more):
+        found = {}
+        for r in resolve.expanded(resolve.resolve(calls, definitions(spark), aliases, **more), definitions(spark)).collect():
+            found.setdefault((r.name, r.file), set()).add((r.target, r.resolution))
+        return found
+
+    many = {f"c/{x}.py::many" for x in "defg"}
+    runs = {"a.py::A.run", "b/b.py::B.run"}
+    assert edges() == {
+        ("run", "a.py"): {("a.py::A.run", "scope_rule")}, ("help", "b/b.py"): {("b/c.py::help", "name_match")}, ("many", "z.py"): {(x, "name_match_ambiguous") for x in many},
+        ("help", "z.py"): {("c/d.py::many", "import_alias")}, ("help", None): {("b/c.py::help", "name_match")},
     }
-    dynamic = resolve.resolve(calls, definitions(spark), aliases, F.col("file") == "a.py").where("resolution = 'skipped_dynamic'").collect()
-    assert [(r.name, r.target) for r in dynamic] == [("run", None)]
+    assert edges(strategy=F.lit("package"))["help", "b/b.py"] == {("b/c.py::help", "scope_rule")}
+    assert edges(strategy=F.lit("global"))["run", "a.py"] == {(x, "name_match") for x in runs}
+    alone = edges(strategy=F.lit(None).cast("string"), dynamic=F.lit(True))
+    assert alone["help", "z.py"] == {("b/c.py::help", "name_match")} and alone["run", "a.py"] == {(x, "name_match") for x in runs}
+    dynamic = edges(dynamic=F.col("file") == "a.py")
+    assert dynamic["run", "a.py"] == {(x, "skipped_dynamic") for x in runs} and dynamic["many", "z.py"] == {(x, "name_match_ambiguous") for x in many}
+    renamed = spark.createDataFrame([("z.py", "alias", "many")], "file string, alias string, original string")
+    assert [r.target for r in resolve.resolve(calls, definitions(spark), renamed).where("name = 'alias'").collect()] == ["c/d.py::many"]
+
+
+@pytest.mark.parametrize(("n", "how"), [(1, "name_match"), (2, "name_match"), (3, "name_match"), (4, "name_match_ambiguous")])
+def test_every_candidate_is_an_edge(spark, n, how):
+    defs = spark.createDataFrame([(f"f{i}.py::go", "go", f"f{i}.py", "", i, "function") for i in range(n)], DEFS)
+    calls = spark.createDataFrame([("m.py::main", "go", "m.py", "")], "caller string, name string, file string, package string")
+    found = resolve.call_edges(resolve.expanded(resolve.resolve(calls, defs), defs)).collect()
+    assert {(r.to_node, r.resolution) for r in found} == {(f"f{i}.py::go", how) for i in range(n)}
 
 
 def test_receivers_and_bases(spark):
-    calls = spark.createDataFrame([("a.py::A.f", "self", "run", "a.py"), ("a.py::A.f", "A", "run", "a.py"), ("a.py::A.f", "X", "run", "a.py"), ("a.py::A.f", "odd", "run", "a.py")], "caller string, receiver string, method string, file string")
+    rows = [("self", "a.py::A.f", "A"), ("A", "a.py::f", None), ("X", "a.py::f", None), ("odd", "a.py::f", None), (None, "a.py::f", None)]
+    calls = spark.createDataFrame([(c, r, "run", "a.py", "", k) for r, c, k in rows] + [("b/c.py::g", "self", "run", "b/c.py", "b", "G"), ("b/c.py::g", "B", "gone", "b/c.py", "b", None)], "caller string, receiver string, method string, file string, package string, caller_class string")
     aliases = spark.createDataFrame([("a.py", "X", "B")], "file string, alias string, original string")
-    got = {r.receiver: (r.target, r.resolution) for r in resolve.resolve_receivers(calls, definitions(spark), aliases).collect()}
-    assert got == {"self": ("a.py::A.run", "scope_rule"), "A": ("a.py::A.run", "scope_rule"), "X": ("b/b.py::B.run", "import_alias"), "odd": (None, None)}
+    found = resolve.expanded(resolve.resolve_receivers(calls, definitions(spark), aliases), definitions(spark), "method").collect()
+    got = {}
+    for r in found:
+        got.setdefault((r.receiver, r.file), set()).add((r.target, r.resolution))
+    local = {("a.py::A.run", "scope_rule")}
+    assert got == {
+        ("self", "a.py"): local, ("A", "a.py"): local, ("X", "a.py"): {("b/b.py::B.run", "import_alias")}, ("odd", "a.py"): local, (None, "a.py"): local,
+        ("self", "b/c.py"): {("a.py::A.run", "name_match"), ("b/b.py::B.run", "name_match")},
+    }
+    skipped = resolve.resolve_receivers(calls, definitions(spark), aliases, dynamic=F.lit(True))
+    assert {(r.resolution, r.target, r.n_candidates) for r in skipped.collect()} == {("skipped_dynamic", None, 2)}
     classes = spark.createDataFrame([("a.py::A", "a.py", "", ["pkg.B", "Unknown", "A"])], "node_id string, file string, package string, bases array<string>")
     assert [(r.from_node, r.to_node, r.type) for r in resolve.extends_edges(classes, definitions(spark)).collect()] == [("a.py::A", "b/b.py::B", "extends")]
 
