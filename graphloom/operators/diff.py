@@ -73,11 +73,15 @@ def uncomparable(versions: DataFrame, features: DataFrame) -> DataFrame:
     return looked.join(features.select("version_id"), "version_id", "left_anti").select("version_id")
 
 
-def finding_diff(before: DataFrame, now: DataFrame) -> DataFrame:
-    """Findings by (cve_id, package, version): new, resolved or unchanged."""
+def finding_diff(before: DataFrame, now: DataFrame, order: list[str], carried: list[str]) -> DataFrame:
+    """Findings by (cve_id, package, version): new, resolved or unchanged, with what is carried of the present row.
+
+    Of several rows of a key the first in order counts; a resolved finding carries its former row.
+    """
     key = ["cve_id", "package", "version"]
-    both = before.select(*key, F.lit(0).alias("s")).union(now.select(*key, F.lit(1).alias("s"))).groupBy(*key).agg(F.min("s").alias("a"), F.max("s").alias("b"))
-    return both.select(*key, F.when(F.col("a") == 1, "new").when(F.col("b") == 0, "resolved").otherwise("unchanged").alias("diff_state"))
+    rows = [x.select(*key, F.lit(s).alias("s"), F.struct(F.lit(1 - s).alias("past"), *order).alias("o"), F.struct(*carried).alias("c")) for s, x in ((0, before), (1, now))]
+    both = rows[0].union(rows[1]).groupBy(*key).agg(F.min("s").alias("a"), F.max("s").alias("b"), F.min_by("c", "o").alias("c"))
+    return both.select(*key, F.when(F.col("a") == 1, "new").when(F.col("b") == 0, "resolved").otherwise("unchanged").alias("diff_state"), "c.*")
 
 
 SIGNATURE = ["name", "parameters", "return_type", "decorators", "docstring"]

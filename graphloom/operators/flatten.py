@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,26 +23,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.skew import spread
+from graphloom.session import shared_folder
 
 #: Schema of each table's own fields.
 TABLES = {
-    "feature": "feature_id string, label string, description string, trigger string, trigger_description string, confidence string, confidence_reason string",
+    "output": "summary string, infrastructure_label string",
+    "feature": "feature_id string, label string, description string, trigger string, trigger_description string, confidence string, confidence_reason string, needs_source_review boolean, review_reason string",
     "feature_node": "node_id string",
+    "unclassified_node": "node_id string",
+    "infrastructure_node": "node_id string",
     "relation": "`from` string, `to` string, relation string, relation_type string, inferred_reason string",
-    "module": "module_id string, label string, confidence string",
+    "block": "block_id string, label string, responsibility string, trigger_mechanism string",
+    "block_feature": "feature_id string",
+    "block_relation": "`from` string, `to` string, relation string, relation_type string, inferred_reason string",
+    "infrastructure_component": "component string",
+    "module": "module_id string, label string, confidence string, confidence_reason string",
     "module_node": "node_id string",
-    "interaction": "`from` string, `to` string, description string, relation_type string",
+    "interaction": "`from` string, `to` string, description string, relation_type string, inferred_reason string",
     "anomaly": "anomaly_type string, explanation string, confidence string",
     "anomaly_node": "node_id string",
 }
-#: Where the lists lie: part of the record, list, tag, the nested list of node ids and its tag.
+#: Where the lists lie: part of the record, list, tag, the nested list of ids and its tag.
 _LISTS = [
     ("l1", "features", "feature", "source_nodes", "feature_node"),
     ("l1", "feature_relations", "relation", None, None),
+    ("l1_5", "blocks", "block", "related_features", "block_feature"),
+    ("l1_5", "block_relations", "block_relation", None, None),
     ("l2", "modules", "module", "source_nodes", "module_node"),
     ("l2", "module_interactions", "interaction", None, None),
     ("l2", "anomalies", "anomaly", "affected_node_ids", "anomaly_node"),
 ]
+#: Lists of ids that hang on the record itself: part, list and tag.
+_IDS = [("l1", "unclassified_nodes", "unclassified_node"), ("l1", "infrastructure_nodes", "infrastructure_node")]
 _FIELDS = {tag: [c.split()[0].strip("`") for c in ddl.split(", ")] for tag, ddl in TABLES.items()}
 _SCHEMA = pa.schema([
     ("tag", pa.string()), ("raw_id", pa.int64()), ("pk", pa.string()), ("parent_pk", pa.string()), ("parent_pos", pa.int64()), ("child_pos", pa.int64()), ("payload", pa.string()),
@@ -86,9 +99,9 @@ def _clean(value: str) -> str:
     return value if value.isascii() else _HALF.sub("\N{REPLACEMENT CHARACTER}", value)
 
 
-def _as_text(value: object) -> str | None:
-    if value is None:
-        return None
+def _as_text(value: object) -> str | bool | None:
+    if value is None or isinstance(value, bool):
+        return value
     return _clean(value) if isinstance(value, str) else json.dumps(value, ensure_ascii=True)
 
 
@@ -100,11 +113,29 @@ def _payload(tag: str, values: dict) -> str:
     return json.dumps({k: _as_text(values[k]) for k in _FIELDS[tag] if values.get(k) is not None}, ensure_ascii=False)
 
 
+def _ids(value: object) -> Iterator[tuple[int, object]]:
+    """The ids of a list with their places; an object counts by its node_id, nulls and lists by none."""
+    for j, node in enumerate(_as_list(value)):
+        if isinstance(node, dict):
+            node = node.get("node_id")
+        if node is not None and not isinstance(node, (dict, list)):
+            yield j, node
+
+
 def visit(top: dict, raw_id: int | None) -> Iterator[tuple]:
     """The tagged rows of one record, depth first."""
-    parts = {"l1": top.get("l1"), "l2": top.get("l2")}
+    parts = {p: top.get(p) for p in ("l1", "l1_5", "l2")}
     if "l1" not in top and ("features" in top or "feature_relations" in top):
         parts["l1"] = top
+    l1, block = (parts["l1"] if isinstance(parts["l1"], dict) else {}), parts["l1_5"]
+    block = block.get("infrastructure_block") if isinstance(block, dict) else None
+    block = block if isinstance(block, dict) else {}
+    yield "output", raw_id, "", "", 0, 0, _payload("output", {"summary": l1.get("summary"), "infrastructure_label": block.get("label")})
+    for part, name, tag in _IDS:
+        for j, node in _ids(parts[part].get(name) if isinstance(parts[part], dict) else None):
+            yield tag, raw_id, f"{part}.{name}[{j}]", "", 0, j, _payload(tag, {"node_id": node})
+    for j, node in _ids(block.get("components")):
+        yield "infrastructure_component", raw_id, f"l1_5.infrastructure_block.components[{j}]", "", 0, j, _payload("infrastructure_component", {"component": node})
     for part, name, tag, nested, nested_tag in _LISTS:
         holder = parts[part]
         for i, entry in enumerate(_as_list(holder.get(name)) if isinstance(holder, dict) else []):
@@ -112,12 +143,8 @@ def visit(top: dict, raw_id: int | None) -> Iterator[tuple]:
                 continue
             pk = f"{part}.{name}[{i}]"
             yield tag, raw_id, pk, "", i, 0, _payload(tag, entry)
-            for j, node in enumerate(_as_list(entry.get(nested)) if nested else []):
-                if isinstance(node, dict):
-                    node = node.get("node_id")
-                if node is None or isinstance(node, (dict, list)):
-                    continue
-                yield nested_tag, raw_id, f"{pk}.{nested}[{j}]", pk, i, j, _payload(nested_tag, {"node_id": node})
+            for j, node in _ids(entry.get(nested)) if nested else ():
+                yield nested_tag, raw_id, f"{pk}.{nested}[{j}]", pk, i, j, _payload(nested_tag, {_FIELDS[nested_tag][0]: node})
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +171,16 @@ def write_tables(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("tag").parquet(path)
 
 
+def tables(df: DataFrame, path: str | None = None, id_column: str = "raw_id", text_column: str = "payload") -> DataFrame:
+    """The tagged rows of all payloads, visited once, written partitioned by tag (to path, else the shared folder) and read back.
+
+    A filter on the tag then reads that table's files only.
+    """
+    path = path or f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}"
+    write_tables(tagged(df, id_column, text_column), path)
+    return df.sparkSession.read.schema(_DDL).parquet(path)
+
+
 def with_schema(rows: DataFrame, tag: str) -> DataFrame:
     """One tag's rows, of `tagged` or read from `write_tables`, as a flat table."""
     own = F.from_json("payload", TABLES[tag])
@@ -158,6 +195,6 @@ def _own(field: str) -> Column:
 
 def nested_keys(df: DataFrame) -> DataFrame:
     """raw_id, kind, parent_pos, child_pos, child_key of every feature node, relation and anomaly node."""
-    rows = tagged(df).where(F.col("tag").isin("feature_node", "relation", "anomaly_node"))
+    rows = tables(df).where(F.col("tag").isin("feature_node", "relation", "anomaly_node"))
     key = F.when(F.col("tag") == "relation", F.coalesce(_own("relation_type"), F.lit(""))).otherwise(_own("node_id"))
     return rows.select("raw_id", F.col("tag").alias("kind"), "parent_pos", "child_pos", key.alias("child_key")).distinct()

@@ -15,6 +15,8 @@ from graphloom.session import checkpoint
 
 MOST_HOPS = 2
 BAND = 8
+#: Edges of a connected component that one task walks.
+MOST_WALKED = 1_000_000
 
 
 def undirected(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,17 +135,45 @@ def isolated(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.select(*keys, "node_id").distinct().join(ends, [*keys, "node_id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
 
 
-def layers(edges: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
-    """keys..., node_id, depth: the longest path from a source, of graphs without cycles."""
-    links = checkpoint(edges.select(*keys, "from_node", "to_node").where("from_node <> to_node").distinct())
-    depth = checkpoint(links.select(*keys, F.explode(F.array("from_node", "to_node")).alias("node_id")).distinct().withColumn("depth", F.lit(0).cast("bigint")))
-    for _ in range(most):
-        pushed = links.join(depth.withColumnRenamed("node_id", "from_node"), [*keys, "from_node"]).groupBy(*keys, "to_node").agg((F.max("depth") + 1).alias("new")).withColumnRenamed("to_node", "node_id")
-        moved = checkpoint(depth.join(pushed, [*keys, "node_id"], "left").select(*keys, "node_id", F.col("depth").alias("old"), F.greatest("depth", F.coalesce("new", F.lit(0))).alias("depth")))
-        depth = moved.drop("old")
-        if moved.where("depth <> old").limit(1).count() == 0:
-            return depth
-    raise ValueError("the graph has a cycle")
+def columns(edges: DataFrame, keys: list[str], most: int = MOST_WALKED) -> DataFrame:
+    """keys..., node_id, depth, column of the nodes that edges, loops aside, touch.
+
+    depth is the longest path down from the node when back edges are left out, column the graph's greatest depth less it.
+    """
+    found = _walked(edges, keys, most).where("to_node is null").select(*keys, F.col("from_node").alias("node_id"), "depth")
+    deepest = found.groupBy(*keys).agg(F.max("depth").alias("deepest")) if keys else found.agg(F.max("depth").alias("deepest"))
+    met = found.join(deepest, keys) if keys else found.crossJoin(F.broadcast(deepest))  # one row
+    return met.select(*keys, "node_id", "depth", (F.col("deepest") - F.col("depth")).alias("column"))
+
+
+def back_edges(edges: DataFrame, keys: list[str], most: int = MOST_WALKED) -> DataFrame:
+    """keys..., from_node, to_node: the edges that lead back to an open node of the depth-first walk by node id; loops don't count."""
+    return _walked(edges, keys, most).where("to_node is not null").select(*keys, "from_node", "to_node")
+
+
+def _walked(edges: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """A row for each node (to_node null) with its depth, and one for each back edge.
+
+    A walk is sequential but never leaves a connected component, so each component is walked by one task. One with more
+    than `most` edges is an error: the walk's order can't be split, and it must not be gathered.
+    """
+    links = edges.where("from_node <> to_node").select(*keys, "from_node", "to_node").distinct()
+    links = checkpoint(links)
+    nodes = links.select(*keys, F.explode(F.array("from_node", "to_node")).alias("node_id")).distinct()
+    parts = components(nodes, links, keys)
+    placed = checkpoint(links.join(parts.withColumnRenamed("node_id", "from_node"), [*keys, "from_node"]))
+    if not placed.groupBy(*keys, "component").count().where(F.col("count") > most).isEmpty():
+        raise ValueError(f"a connected component has more than {most} edges")
+    ddl = ", ".join([*(f"`{k}` {dict(edges.dtypes)[k]}" for k in keys), "from_node string", "to_node string", "depth bigint"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = walk_down(list(zip(pdf["from_node"], pdf["to_node"], strict=True)))
+        out = pd.DataFrame(found, columns=["from_node", "to_node", "depth"], dtype=object)
+        for i, k in enumerate(keys):
+            out.insert(i, k, pdf[k].iloc[0])
+        return out
+
+    return placed.groupBy(*keys, "component").applyInPandas(run, ddl)
 
 
 def banded(placed: DataFrame, keys: list[str], order: list[str], band: int = BAND) -> DataFrame:
@@ -261,27 +291,39 @@ def chunks(sized: DataFrame, edges: DataFrame, key: str, target: int, ratio: int
     return small.unionByName(rows.groupBy(key).applyInPandas(run, f"{key} string, node_id string, chunk_id string, tier string"))
 
 
-def back_edges(edges: list[tuple[str, str]]) -> Iterator[tuple[str, str]]:
-    """The edges of a bounded graph that lead back to an open node, in depth-first order by node id."""
-    out: dict[str, list[str]] = {}
+def walk_down(edges: list[tuple[str, str]]) -> list[tuple[str, str | None, int | None]]:
+    """Of a bounded graph: (node, None, depth) of every node and (from, to, None) of every back edge.
+
+    Depth-first by node id; a node is left when all below it are, so its depth is known then.
+    """
+    out: dict[str, set[str]] = {}
     for a, b in edges:
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, [])
-    state = dict.fromkeys(out, 0)
+        if a != b:
+            out.setdefault(a, set()).add(b)
+            out.setdefault(b, set())
+    found: list[tuple[str, str | None, int | None]] = []
+    opened: set[str] = set()
+    depth: dict[str, int] = {}
     for top in sorted(out):
-        if state[top]:
+        if top in depth:
             continue
-        state[top] = 1
-        stack = [(top, iter(sorted(set(out[top]))))]
+        opened.add(top)
+        stack = [(top, iter(sorted(out[top])), [0])]
         while stack:
-            n, rest = stack[-1]
+            n, rest, deepest = stack[-1]
             for m in rest:
-                if state[m] == 0:
-                    state[m] = 1
-                    stack.append((m, iter(sorted(set(out[m])))))
+                if m in depth:
+                    deepest[0] = max(deepest[0], depth[m] + 1)
+                elif m in opened:
+                    found.append((n, m, None))
+                else:
+                    opened.add(m)
+                    stack.append((m, iter(sorted(out[m])), [0]))
                     break
-                if state[m] == 1:
-                    yield n, m
             else:
-                state[n] = 2
                 stack.pop()
+                opened.discard(n)
+                depth[n] = deepest[0]
+                if stack:
+                    stack[-1][2][0] = max(stack[-1][2][0], depth[n] + 1)
+    return found + [(n, None, d) for n, d in depth.items()]

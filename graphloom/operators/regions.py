@@ -57,13 +57,13 @@ def one_way_consumers(totals: DataFrame) -> DataFrame:
 
 
 def shares(placed: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Nodes of every region and the count of all, and the nodes of each of its batches."""
+    """Nodes of every region, the count of all and the region's share in percent (halves of a tenth go up), and the nodes of each of its batches."""
     keys = keys or []
     each = placed.groupBy(*keys, region_of(F.col("node_id")).alias("region"), "batch").agg(F.count("*").alias("n_nodes"))
     return each.select(
         *keys, "region", "batch", "n_nodes", F.sum("n_nodes").over(Window.partitionBy(*keys, "region")).alias("n_region"),
         F.sum("n_nodes").over(Window.partitionBy(*keys)).alias("n_all"),
-    )
+    ).withColumn("share_percent", F.floor((F.col("n_region") * 2000 + F.col("n_all")) / (F.col("n_all") * 2)) / 10)
 
 
 def graph_totals(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,9 @@ from graphloom.functions import paths
 from graphloom.functions.text import PROHIBITED_TERMS
 from graphloom.operators import diff, findings, graph, guidance, membrane, reports, resolve, scope, timeline, validate, views
 from graphloom.operators.skew import spread
+from graphloom.operators.flatten import with_schema
 from graphloom.plans.bridge import view as V
+from graphloom.plans.problem_queries import raw_tables
 from graphloom.plans.reference_queries import _GRAPH, _ND, _OWN, _SD, _UP, NOW, ORACLES, QUERIES, P, VER, _base, _graph, _nodes, _owned, _raised, _structures, query
 from graphloom.session import checkpoint
 from graphloom.sources import documents, tree
@@ -229,12 +231,21 @@ def g20(s, d):
     return graph.isolated(*_graph(s, d), VER)
 
 
-@query("g21_layers", "places", """SELECT node_id, depth::BIGINT AS depth FROM (SELECT DISTINCT 'o/' || l_orderkey AS node_id, 0 AS depth FROM lineitem UNION SELECT DISTINCT 'p/' || l_partkey, 1 FROM lineitem UNION SELECT DISTINCT 's/' || l_suppkey, 2 FROM lineitem)""")
+# Paths of the graph without its back edges; what is below a node on the longest of them is its depth, and the deepest node's column is 0.
+@query("g21_layers", "versions", """RECURSIVE e AS (SELECT DISTINCT l_suppkey % 97 AS a, l_suppkey % 97 + 1 + l_partkey % 7 AS b FROM lineitem),
+ p AS (SELECT b AS node, 0 AS d FROM e UNION SELECT a, 0 FROM e UNION SELECT e.a, p.d + 1 FROM p JOIN e ON e.b = p.node),
+ dep AS (SELECT node, max(d) AS depth FROM p GROUP BY 1) SELECT lpad(node::VARCHAR, 4, '0') AS node_id, depth::BIGINT AS depth, ((SELECT max(depth) FROM dep) - depth)::BIGINT AS column FROM dep""")
 def g21(s, d):
-    li = _base(s, d, "lineitem")
-    o, p, u = [F.concat(F.lit(x), F.col(c).cast("string")) for x, c in (("o/", "l_orderkey"), ("p/", "l_partkey"), ("s/", "l_suppkey"))]
-    edges = li.select(o.alias("from_node"), p.alias("to_node")).union(li.select(p, u)).distinct()
-    return graph.layers(edges, [])
+    a = F.col("l_suppkey") % 97
+    named = [F.lpad(x.cast("string"), 4, "0").alias(n) for x, n in ((a, "from_node"), (a + 1 + F.col("l_partkey") % 7, "to_node"))]
+    return graph.columns(_base(s, d, "lineitem").select(*named).distinct(), [])
+
+
+# A back edge leads from a node to one that the walk has not left; without them no path comes back to where it began.
+@query("g19_back_edges")
+def g19(s, d):
+    edges = V(s, d, "relations").select("version_id", F.col("from_feature").alias("from_node"), F.col("to_feature").alias("to_node"))
+    return graph.back_edges(edges, VER)
 
 
 @query("g22_bands", "features", "SELECT version_id, feature_id, ((row_number() OVER (PARTITION BY version_id ORDER BY feature_id) - 1) // 8)::BIGINT AS band FROM features")
@@ -486,9 +497,7 @@ def u05(s, d):
 
 
 def _anomalies(s, d):
-    from graphloom.operators.flatten import tagged, with_schema
-
-    rows = tagged(_base(s, d, "raw_outputs")).where("tag in ('anomaly', 'anomaly_node')").distinct()
+    rows = raw_tables(s, d)
     kinds = with_schema(rows, "anomaly").select("raw_id", F.col("pk").alias("parent_pk"), "anomaly_type")
     return with_schema(rows, "anomaly_node").join(kinds, ["raw_id", "parent_pk"]).select("raw_id", "node_id", "anomaly_type").distinct()
 
@@ -745,7 +754,7 @@ def o18(s, d):
     return reports.mermaid_scope(_scoped(s, d), VER)
 
 
-@query("o19_serialised")
+@query("o19_serialised", "versions", """SELECT version_id, to_json({'version_id': version_id, 'project_id': project_id, 'trigger': trigger, 'commit_hash': commit_hash, 'git_tags': git_tags, 'label': label, 'contract_version': contract_version, 'stamp': stamp, 'codebase_path': codebase_path, 'project_summary': project_summary, 'analyzed_files': analyzed_files})::VARCHAR AS json FROM versions""")
 def o19(s, d):
     return reports.serialised(V(s, d, "versions").drop("made_at"), ["version_id"])
 

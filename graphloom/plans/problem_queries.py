@@ -45,14 +45,27 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten.nested_keys(table(spark, d, "raw_outputs"))
 
 
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def raw_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables of raw_outputs, written once for a session and what its files are now; later queries read their tags."""
+    files = table(spark, d, "raw_outputs").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    digest = files.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*files.columns)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *files.columns)).alias("y")).first()
+    key = (spark.sparkContext.applicationId, d, *digest)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = flatten.tables(table(spark, d, "raw_outputs"))
+    return _WRITTEN[key]
+
+
 def _flat(tag: str):
-    return lambda spark, d: flatten.with_schema(flatten.tagged(table(spark, d, "raw_outputs")), tag)
+    return lambda spark, d: flatten.with_schema(raw_tables(spark, d), tag)
 
 
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p5_found": p5_found, "p5_paths": p5_paths,
     "p5_descendants": p5_descendants, "p6_found": p6_found, "p6_features": _flat("feature"), "p6_relations": _flat("relation"),
-    "p6_anomalies": _flat("anomaly"),
+    "p6_anomalies": _flat("anomaly"), "p6_unclassified": _flat("unclassified_node"), "p6_modules": _flat("module"),
 }
 
 _LATEST_BLOCKS = """

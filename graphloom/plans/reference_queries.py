@@ -214,7 +214,14 @@ def t05(s, d):
     return topology.topology_ranks(_entries(s, d), P).select("project_id", "node_id", "topology_rank")
 
 
-@query("t06_topology")
+_BATCHED = f"""{_CODE_DEGREE},
+ rest AS (SELECT project_id, node_id, row_number() OVER (PARTITION BY project_id ORDER BY in_degree DESC, node_ord, node_id) AS rn, count(*) OVER (PARTITION BY project_id) AS c FROM entries WHERE NOT is_entry_point),
+ placed AS (SELECT project_id, node_id, 1::BIGINT AS batch FROM entries WHERE is_entry_point UNION ALL SELECT project_id, node_id, least((rn - 1) // ((c + 3) // 4) + 2, 5)::BIGINT FROM rest)"""
+
+
+@query("t06_topology", "live_nodes code_edges", f"""{_BATCHED} SELECT e.project_id, e.node_id, in_degree, out_degree, is_entry_point, batch,
+ row_number() OVER (PARTITION BY e.project_id ORDER BY is_entry_point DESC, CASE WHEN is_entry_point THEN out_degree ELSE in_degree END DESC, node_ord, e.node_id) AS topology_rank
+ FROM entries e JOIN placed p ON p.project_id = e.project_id AND p.node_id = e.node_id""")
 def t06(s, d):
     rows = topology.topology(V(s, d, "live_nodes"), V(s, d, "code_edges"), P)
     return rows.select("project_id", "node_id", "in_degree", "out_degree", "topology_rank", "is_entry_point", "batch")
@@ -256,7 +263,9 @@ def r04(s, d):
     return regions.one_way_consumers(totals).select("region", "outbound", "inbound", "ratio", "one_way_consumer")
 
 
-@query("r05_region_shares")
+@query("r05_region_shares", "live_nodes code_edges", f"""{_BATCHED}, each AS (SELECT project_id, {_region('node_id')} AS region, batch, count(*) AS n_nodes FROM placed GROUP BY ALL),
+ summed AS (SELECT *, (sum(n_nodes) OVER (PARTITION BY project_id, region))::BIGINT AS n_region, (sum(n_nodes) OVER (PARTITION BY project_id))::BIGINT AS n_all FROM each)
+ SELECT *, floor((n_region * 2000 + n_all) / (n_all * 2)) / 10 AS share_percent FROM summed""")
 def r05(s, d):
     return regions.shares(topology.batches(_entries(s, d), P), P)
 
@@ -502,12 +511,14 @@ def d07(s, d):
     return diff.uncomparable(V(s, d, "versions"), V(s, d, "features"))
 
 
-@query("d08_finding_diff", "findings", """a AS (SELECT DISTINCT cve_id, package, version FROM findings WHERE evidence = ''), b AS (SELECT DISTINCT cve_id, package, version FROM findings WHERE evidence <> '')
- SELECT coalesce(a.cve_id, b.cve_id) AS cve_id, coalesce(a.package, b.package) AS package, coalesce(a.version, b.version) AS version, CASE WHEN a.cve_id IS NULL THEN 'new' WHEN b.cve_id IS NULL THEN 'resolved' ELSE 'unchanged' END AS diff_state
+@query("d08_finding_diff", "findings", """a AS (SELECT cve_id, package, version, arg_min(struct_pack(s := severity, e := evidence), struct_pack(a := l_orderkey, b := l_linenumber, c := l_extendedprice)) AS r FROM findings WHERE evidence = '' GROUP BY 1, 2, 3),
+ b AS (SELECT cve_id, package, version, arg_min(struct_pack(s := severity, e := evidence), struct_pack(a := l_orderkey, b := l_linenumber, c := l_extendedprice)) AS r FROM findings WHERE evidence <> '' GROUP BY 1, 2, 3)
+ SELECT coalesce(a.cve_id, b.cve_id) AS cve_id, coalesce(a.package, b.package) AS package, coalesce(a.version, b.version) AS version, CASE WHEN a.cve_id IS NULL THEN 'new' WHEN b.cve_id IS NULL THEN 'resolved' ELSE 'unchanged' END AS diff_state,
+ CASE WHEN b.cve_id IS NULL THEN a.r.s ELSE b.r.s END AS severity, CASE WHEN b.cve_id IS NULL THEN a.r.e ELSE b.r.e END AS evidence
  FROM a FULL JOIN b ON a.cve_id = b.cve_id AND a.package = b.package AND a.version = b.version""")
 def d08(s, d):
     rows = V(s, d, "findings")
-    return diff.finding_diff(rows.where("evidence = ''"), rows.where("evidence <> ''"))
+    return diff.finding_diff(rows.where("evidence = ''"), rows.where("evidence <> ''"), ["l_orderkey", "l_linenumber", "l_extendedprice"], ["severity", "evidence"])
 
 
 def _structures(s, d):
@@ -582,7 +593,7 @@ def d15(s, d):
     return diff.as_of(versions, versions.select("project_id", F.col("made_at").cast("date").alias("day")).distinct())
 
 
-@query("d16_reference_names")
+@query("d16_reference_names", "versions", """SELECT project_id, version_id, json_merge_patch('{}', to_json({'version_id': version_id, 'label': nullif(label, ''), 'commit': left(commit_hash, 7), 'tags': CASE WHEN len(git_tags) > 0 THEN array_to_string(git_tags, ',') END}))::VARCHAR AS names FROM versions""")
 def d16(s, d):
     return diff.references_of(V(s, d, "versions"))
 

@@ -38,3 +38,15 @@ def test_tables_written_and_linked(spark, tmp_path):
     joined = nodes.join(features.select("feature_id", features.pk.alias("parent_pk")), "parent_pk").select("feature_id", "node_id", "child_pos")
     assert {tuple(r) for r in joined.collect()} == {("f0", "a", 0), ("f0", "b", 2), ("f0", "7", 5), ("f2", "c", 0)}
     assert features.where("feature_id = 'f0'").first().label == "ü�"
+
+
+def test_every_field_and_list_comes_out(spark, tmp_path):
+    l1 = {"summary": "s", "features": [{"feature_id": "f", "needs_source_review": True, "review_reason": "r"}], "feature_relations": [], "unclassified_nodes": ["u", None, "v"], "infrastructure_nodes": "w"}
+    l15 = {"blocks": [{"block_id": "b", "trigger_mechanism": "t", "related_features": ["f"]}], "block_relations": [{"from": "b", "to": "c"}], "infrastructure_block": {"label": "i", "components": ["x", "y"]}}
+    l2 = {"modules": [{"module_id": "m", "confidence_reason": "c", "source_nodes": ["n"]}], "module_interactions": [{"from": "m", "to": "k", "inferred_reason": "why"}]}
+    rows = f.tables(spark.createDataFrame([(1, json.dumps({"l1": l1, "l1_5": l15, "l2": l2})), (2, json.dumps({"l1": 3, "l1_5": {"infrastructure_block": 5}}))], "raw_id bigint, payload string"), str(tmp_path / "flat"))
+    one = lambda tag: [r.asDict() for r in f.with_schema(rows, tag).where("raw_id = 1").orderBy("child_pos").collect()]
+    assert (one("feature")[0]["needs_source_review"], one("feature")[0]["review_reason"], one("output")[0]["summary"], one("output")[0]["infrastructure_label"]) == (True, "r", "s", "i")
+    assert [(r["child_pos"], r["node_id"]) for r in one("unclassified_node")] == [(0, "u"), (2, "v")] and one("infrastructure_node")[0]["node_id"] == "w"
+    assert one("block")[0]["trigger_mechanism"] == "t" and one("block_feature")[0]["feature_id"] == "f" and one("block_relation")[0]["to"] == "c"
+    assert [r["component"] for r in one("infrastructure_component")] == ["x", "y"] and one("module")[0]["confidence_reason"] == "c" and one("interaction")[0]["inferred_reason"] == "why"

@@ -66,16 +66,29 @@ def test_pruned_is_the_least_fixpoint(world):
     assert {(r.k, r.node_id) for r in got} == done and {(r.k, r.node_id) for r in got if r.round == 0} == seeds
 
 
-def test_layers(spark):
-    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "d"), ("d", "d")], "from_node string, to_node string")
-    assert {r.node_id: r.depth for r in graph.layers(e, []).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "x": 0}
+def test_columns(spark):
+    e = spark.createDataFrame([("p", "A", "B"), ("p", "B", "C"), ("p", "D", "C"), ("p", "B", "B"), ("q", "a", "b"), ("q", "b", "c"), ("q", "c", "a"), ("q", "c", "d")], "k string, from_node string, to_node string")
+    got = {(r.k, r.node_id): (r.depth, r.column) for r in graph.columns(e, ["k"]).collect()}
+    assert got == {
+        ("p", "A"): (2, 0), ("p", "B"): (1, 1), ("p", "C"): (0, 2), ("p", "D"): (1, 1),
+        ("q", "a"): (3, 0), ("q", "b"): (2, 1), ("q", "c"): (1, 2), ("q", "d"): (0, 3),
+    }
+    assert [tuple(r) for r in graph.back_edges(e, ["k"]).collect()] == [("q", "c", "a")]
+    assert graph.columns(e.limit(0), ["k"]).count() == 0
     with pytest.raises(ValueError):
-        graph.layers(spark.createDataFrame([("a", "b"), ("b", "a")], "from_node string, to_node string"), [], most=8)
+        graph.columns(e, ["k"], most=2)
 
 
-def test_back_edges():
-    assert [*graph.back_edges([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d")])] == [("c", "a"), ("d", "d")]
-    assert [*graph.back_edges([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")])] == []
+@pytest.mark.parametrize("seed", range(8))
+def test_walk_down_leaves_no_cycle(seed):
+    rng = random.Random(seed)
+    edges = [(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(30)]
+    found = graph.walk_down(edges)
+    back = {(a, b) for a, b, d in found if d is None}
+    rest = {(a, b) for a, b in edges if a != b} - back
+    depth = {a: d for a, _, d in found if d is not None}
+    assert all(depth[a] > depth[b] for a, b in rest)
+    assert all(d == 0 or any(depth[b] == d - 1 for a, b in rest if a == n) for n, d in depth.items())
 
 
 @pytest.mark.parametrize("seed", range(10))
