@@ -13,7 +13,7 @@ from graphloom.plans.bridge import view as V
 from graphloom.plans.problem_queries import raw_tables
 from graphloom.plans.reference_queries import _GRAPH, _ND, _OWN, _SD, _UP, NOW, ORACLES, QUERIES, P, VER, _base, _graph, _nodes, _owned, _raised, _structures, query
 from graphloom.session import checkpoint
-from graphloom.sources import documents, tree
+from graphloom.sources import documents, frontends, tree
 from graphloom.streaming import logs
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -650,22 +650,33 @@ def src03(s, d):
     return tree.kept(_base(s, d, "source_files").select("path"), ["tests/", "*.rs"])
 
 
-@query("src05_python_nodes")
+def _source_texts(s, d):
+    named = F.lower(F.trim("language"))
+    known = F.when(named.isin(*frontends.RULES), named)
+    language = F.coalesce(paths.language_of(F.col("path")), known).alias("language")
+    return spread(_base(s, d, "source_files").select("path", F.col("content").alias("text"), language).distinct())
+
+
+@query("src05_nodes")
 def src05(s, d):
-    files = _base(s, d, "source_files").select("path", F.col("content").alias("text"), paths.language_of(F.col("path")).alias("language")).distinct()
-    return tree.nodes(spread(files)).groupBy("type", "error").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
+    return tree.nodes(_source_texts(s, d)).groupBy("language", "type", "error").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
 
 
 @query("e02_call_sites")
 def e02(s, d):
-    files = _base(s, d, "source_files").select("path", F.col("content").alias("text"), paths.language_of(F.col("path")).alias("language")).distinct()
-    return tree.call_sites(spread(files)).groupBy("method").agg(F.count("*").alias("n"), F.count("receiver").alias("n_received"))
+    return tree.call_sites(_source_texts(s, d)).groupBy("language", "method").agg(F.count("*").alias("n"), F.count("receiver").alias("n_received"))
 
 
 @query("e03_import_aliases")
 def e03(s, d):
-    files = _base(s, d, "source_files").select("path", F.col("content").alias("text"), paths.language_of(F.col("path")).alias("language")).distinct()
-    return tree.aliases(spread(files)).groupBy("alias", "original").agg(F.count("*").alias("n"))
+    return tree.aliases(_source_texts(s, d)).groupBy("alias", "original").agg(F.count("*").alias("n"))
+
+
+@query("e12_extends_edges")
+def e12(s, d):
+    nodes = checkpoint(tree.nodes(_source_texts(s, d)).where("error is null").select("node_id", "name", "file", "type", "language", "node_ord", "bases", paths.package_of(F.col("file")).alias("package")))
+    aliases = tree.aliases(_source_texts(s, d)).select("file", "alias", "original")
+    return resolve.extends_edges(nodes.where("type = 'class'"), nodes.drop("bases"), aliases, tree.strategy(F.col("language")))
 
 
 @query("src14_latest_version", "versions", "SELECT version_id, stamp FROM versions ORDER BY stamp DESC, version_id DESC LIMIT 1")
@@ -722,13 +733,15 @@ def st04(s, d):
 
 @query("e09_receiver_tiers")
 def e09(s, d):
-    files = _base(s, d, "source_files").select("path", F.col("content").alias("text"), paths.language_of(F.col("path")).alias("language")).distinct()
-    nodes = checkpoint(tree.nodes(spread(files)).where("error is null").select("node_id", "name", "file", "type", "node_ord", paths.package_of(F.col("file")).alias("package")))
+    files = _source_texts(s, d)
+    nodes = checkpoint(tree.nodes(files).where("error is null").select("node_id", "name", "file", "type", "node_ord", paths.package_of(F.col("file")).alias("package")))
     owner = F.regexp_extract("caller", r"::(.*)[.][^.]+$", 1)
-    calls = tree.call_sites(spread(files)).select("caller", "receiver", "method", "file", paths.package_of(F.col("file")).alias("package"), F.when(owner != "", owner).alias("caller_class")).distinct()
-    found = resolve.resolve_receivers(calls, nodes, tree.aliases(spread(files)).select("file", "alias", "original"))
+    calls = tree.call_sites(files).select("caller", "receiver", "method", "file", "language", paths.package_of(F.col("file")).alias("package"), F.when(owner != "", owner).alias("caller_class")).distinct()
+    named = F.regexp_extract("caller", r"([^.:]+)$", 1)
+    language = F.col("language")
+    found = resolve.resolve_receivers(calls, nodes, tree.aliases(files).select("file", "alias", "original"), tree.is_dynamic(language, named), tree.strategy(language))
     edges = F.when(F.col("target").isNull(), F.col("n_candidates")).otherwise(1)
-    return found.groupBy("resolution").agg(F.count("*").alias("n_calls"), F.sum(edges).cast("bigint").alias("n_edges"))
+    return found.groupBy("language", "resolution").agg(F.count("*").alias("n_calls"), F.sum(edges).cast("bigint").alias("n_edges"))
 
 
 @query("d17_incremental", "code_nodes l1_features", f"{_SD}, {_OWN}, st AS (SELECT o.project_id, feature_id, count(change) AS c FROM owned o LEFT JOIN delta USING (project_id, node_id) WHERE node_id IS NOT NULL GROUP BY 1, 2) SELECT 'delta' AS part, count(*) AS n FROM delta UNION ALL SELECT 'affected', count(*) FILTER (WHERE c > 0) FROM st UNION ALL SELECT 'inherited', count(*) FILTER (WHERE c = 0) FROM st UNION ALL SELECT 'unmapped', count(*) FROM delta x WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.project_id = x.project_id AND o.node_id = x.node_id)")

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import IGNORED, ignore_regex, language_of
+from graphloom.sources import frontends
 
 NODE_DDL = (
     "file string, node_id string, name string, type string, language string, decorators array<string>, parameters array<string>, return_type string, docstring string, "
     "comments array<string>, bases array<string>, start_line int, end_line int, body_hash string, node_ord bigint, error string"
 )
-CALL_DDL = "file string, caller string, receiver string, method string, pos bigint"
+CALL_DDL = "file string, language string, caller string, receiver string, method string, pos bigint"
 ALIAS_DDL = "file string, alias string, original string"
 
 
@@ -119,20 +120,25 @@ def python_aliases(path: str, text: str) -> dict[str, str]:
 
 
 def nodes(files: DataFrame) -> DataFrame:
-    """The definitions of the Python files of `texts`; a file that can't be parsed gives one row with its error."""
+    """The definitions of the files of `texts` in all known languages; a file that can't be parsed gives one row with its error."""
     columns = [c.strip().split(" ")[0] for c in NODE_DDL.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows: list[dict] = []
-            for path, text in zip(part["path"], part["text"], strict=True):
+            for path, text, language in zip(part["path"], part["text"], part["language"], strict=True):
                 try:
-                    rows += [x | {"node_ord": i} for i, x in enumerate(python_nodes(path, text))]
+                    found = python_nodes(path, text) if language == "python" else [x for x, _ in frontends.definitions(path, text, language)]
+                    rows += [x | {"node_ord": i} for i, x in enumerate(found)]
                 except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-                    rows.append(dict.fromkeys(columns) | {"file": path, "error": type(e).__name__})
+                    rows.append(dict.fromkeys(columns) | {"file": path, "language": language, "error": type(e).__name__})
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
-    return files.where((F.col("language") == "python") & F.col("text").isNotNull()).select("path", "text").mapInPandas(run, NODE_DDL)
+    return _readable(files).mapInPandas(run, NODE_DDL)
+
+
+def _readable(files: DataFrame) -> DataFrame:
+    return files.where(F.col("language").isin(*frontends.RULES) & F.col("path").isNotNull() & F.col("text").isNotNull()).select("path", "text", "language")
 
 
 def _tabled(files: DataFrame, extract, ddl: str) -> DataFrame:
@@ -141,22 +147,52 @@ def _tabled(files: DataFrame, extract, ddl: str) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows: list[tuple] = []
-            for path, text in zip(part["path"], part["text"], strict=True):
+            for path, text, language in zip(part["path"], part["text"], part["language"], strict=True):
                 try:
-                    rows += extract(path, text)
+                    rows += extract(path, text, language)
                 except (SyntaxError, ValueError, RecursionError, MemoryError):
                     continue  # nodes() reports the file
             yield pd.DataFrame(rows, columns=columns)
 
-    return files.where((F.col("language") == "python") & F.col("text").isNotNull()).select("path", "text").mapInPandas(run, ddl)
+    return _readable(files).mapInPandas(run, ddl)
 
 
 def call_sites(files: DataFrame) -> DataFrame:
-    return _tabled(files, lambda p, t: list(python_calls(p, t)), CALL_DDL)
+    """The calls in functions of the files of `texts`: file, language, caller, receiver (the nearest name, or null), method, pos (the line)."""
+
+    def extract(path: str, text: str, language: str) -> list[tuple]:
+        found = python_calls(path, text) if language == "python" else frontends.calls(path, text, language)
+        return [(row[0], language, *row[1:]) for row in found]
+
+    return _tabled(files, extract, CALL_DDL)
 
 
 def aliases(files: DataFrame) -> DataFrame:
-    return _tabled(files, lambda p, t: [(p, a, o) for a, o in python_aliases(p, t).items()], ALIAS_DDL)
+    """What the files of `texts` import: file, alias (the name in the file) and original."""
+
+    def extract(path: str, text: str, language: str) -> list[tuple]:
+        found = python_aliases(path, text) if language == "python" else frontends.aliases(path, text, language)
+        return [(path, a, o) for a, o in found.items()]
+
+    return _tabled(files, extract, ALIAS_DDL)
+
+
+def strategy(language: F.Column) -> F.Column:
+    """How a language looks for functions: file, package, global, or null without rules."""
+    out = F.lit(None).cast("string")
+    for name, (how, _, _) in frontends.RULES.items():
+        if how:
+            out = F.when(language == name, how).otherwise(out)
+    return out
+
+
+def is_dynamic(language: F.Column, caller_name: F.Column) -> F.Column:
+    """Whether a caller's calls are dynamic, by its language or by its name."""
+    out = language.isin(*frontends.DYNAMIC)
+    for name, (_, _, markers) in frontends.RULES.items():
+        if markers:
+            out = out | ((language == name) & caller_name.isin(*markers))
+    return out
 
 
 def snippet(lines: list[str], start: int, most_bytes: int = 10_240) -> str:
