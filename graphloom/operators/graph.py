@@ -183,6 +183,18 @@ def banded(placed: DataFrame, keys: list[str], order: list[str], band: int = BAN
     return ranked(placed, keys, [F.col(c) for c in order], "place").withColumn("band", F.floor((F.col("place") - 1) / band).cast("bigint")).drop("place")
 
 
+def merged_chunks(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The union of the features of all chunks (chunk_id, feature_id, ...), and its errors: (error, feature_id, chunks).
+
+    A feature without an id, and one whose id more than one row has, is an error, and the union then not to be used. An
+    error names its first two chunks and how many rows there are.
+    """
+    named = F.coalesce("feature_id", F.lit("")) != ""
+    missing = features.where(~named).groupBy("chunk_id").count().select(F.lit("missing_id").alias("error"), F.lit(None).cast("string").alias("feature_id"), F.col("chunk_id").alias("first_chunk"), F.lit(None).cast("string").alias("last_chunk"), F.col("count").alias("n"))
+    twice = features.where(named).groupBy("feature_id").agg(F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"), F.count("*").alias("n")).where("n > 1")
+    return features.where(named), missing.unionByName(twice.select(F.lit("duplicate_id").alias("error"), "feature_id", "first_chunk", "last_chunk", "n"))
+
+
 def node_features(owned: DataFrame, keys: list[str]) -> DataFrame:
     """The one feature of every node, the least of its owners, and how many own it."""
     return owned.groupBy(*keys, "node_id").agg(F.min("feature_id").alias("feature_id"), F.countDistinct("feature_id").alias("n_owners"))

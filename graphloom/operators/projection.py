@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import method_of
+from graphloom.session import checkpoint
 
 
 def split_edges(edges: DataFrame) -> DataFrame:
@@ -15,16 +16,16 @@ def split_edges(edges: DataFrame) -> DataFrame:
 
 
 def residue(edges: DataFrame, part: str) -> DataFrame:
-    """Of each caller the methods called in a part with their counts, how many there are, and of how many edges in all."""
-    methods = split_edges(edges).groupBy("from_node", method_of(F.col("to_node")).alias("method")).agg(
+    """Of each caller the methods called in a part: from_node, method, n, the caller's cardinality, and of how many edges in all.
+
+    A row a method, so no caller's methods are gathered; edges are counted once, and their total is that of the counts.
+    """
+    methods = checkpoint(split_edges(edges).groupBy("from_node", method_of(F.col("to_node")).alias("method")).agg(
         F.count(F.when(F.col("part") == part, 1)).alias("n"), F.count("*").alias("n_any")
-    )
-    each = methods.groupBy("from_node").agg(
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.concat_ws(":", "method", "n")))), ",").alias("methods"),
-        F.sum("n").alias("cardinality"), F.sum("n_any").alias("n_any"),
-    )
-    total = each.agg(F.sum("n_any").alias("n_all"))
-    return each.where("cardinality > 0").select("from_node", "methods", "cardinality", total.scalar().alias("n_all"))
+    ))
+    total = methods.agg(F.sum("n_any").alias("n_all"))
+    of_caller = F.sum("n").over(Window.partitionBy("from_node"))
+    return methods.where("n > 0").select("from_node", "method", "n", of_caller.alias("cardinality"), total.scalar().alias("n_all"))
 
 
 def residue_counters(edges: DataFrame) -> DataFrame:

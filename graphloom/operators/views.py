@@ -93,6 +93,11 @@ def card_filter(confidence: str | None = None, change: str | None = None) -> Col
     return c
 
 
+def risk_filter() -> Column:
+    """Which cards are at risk: with an anomaly, or of low confidence."""
+    return (F.coalesce("anomaly_count", F.lit(0)) > 0) | F.coalesce(F.col("confidence") == "low", F.lit(False))
+
+
 def card_order(kind: str) -> list[Column]:
     """Sort keys of cards: risk, alpha, sources or type; ids decide."""
     orders = {

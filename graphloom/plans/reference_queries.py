@@ -318,7 +318,7 @@ def x01(s, d):
 
 
 _RESIDUE = """m AS (SELECT from_node, reverse(split_part(reverse(to_node), '.', 1)) AS method, count(*) AS n FROM trade_edges WHERE resolution = '{0}' GROUP BY 1, 2)
- SELECT from_node, string_agg(method || ':' || n, ',' ORDER BY method || ':' || n) AS methods, sum(n)::BIGINT AS cardinality, (SELECT count(*) FROM trade_edges) AS n_all FROM m GROUP BY 1"""
+ SELECT from_node, method, n, (sum(n) OVER (PARTITION BY from_node))::BIGINT AS cardinality, (SELECT count(*) FROM trade_edges) AS n_all FROM m"""
 
 
 @query("x02_indeterminate_residue", "trade_edges", _RESIDUE.format("skipped_dynamic"))

@@ -56,6 +56,18 @@ def structures(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def write_structure(files: DataFrame, nodes: DataFrame, edges: DataFrame, topology: DataFrame, path: str, document: str = "document") -> None:
+    """The tables of `structures` as one JSON document for each name in `document`, nodes and edges in their order."""
+    def lists(df: DataFrame, out: str, *order: str, **renamed: str) -> DataFrame:
+        fields = [F.col(c).alias(renamed.get(c, c)) for c in df.columns if c not in (document, *order)]
+        rows = F.sort_array(F.collect_list(F.struct(*order, F.struct(*fields).alias("x"))))
+        return df.groupBy(document).agg(F.transform(rows, lambda r: r["x"]).alias(out))
+
+    whole = lists(files, "files").join(lists(nodes, "nodes", "node_ord"), document, "full").join(
+        lists(edges, "edges", "edge_ord", from_node="from", to_node="to"), document, "full").join(lists(topology, "topology"), document, "full")
+    whole.repartition(document).write.mode("overwrite").partitionBy(document).option("ignoreNullFields", "false").json(path)
+
+
 def write_versions(rows: DataFrame, path: str, key: str = "version_id") -> None:
     """Rows as gzipped JSON, a folder for each version."""
     rows.write.mode("append").partitionBy(key).option("compression", "gzip").json(path)
@@ -71,6 +83,18 @@ def write_regions(nodes: DataFrame, path: str) -> None:
     nodes.withColumn("region", region_of(F.col("node_id"))).write.mode("overwrite").partitionBy("region").parquet(path)
 
 
+def region_index(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The index of a regional artifact: of each region its nodes, files and edges within it, to it and from it."""
+    own = nodes.groupBy(region_of(F.col("node_id")).alias("region")).agg(F.count("*").alias("n_nodes"), F.countDistinct("file").alias("n_files"))
+    ends = edges.select(region_of(F.col("from_node")).alias("a"), region_of(F.col("to_node")).alias("b"))
+    inside = F.col("a") == F.col("b")
+    sides = ends.select(F.inline(F.array(F.struct(F.col("a").alias("region"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("b").alias("region"), F.lit(0).alias("o"), F.lit(1).alias("i")))), inside.alias("inside"))
+    counts = sides.groupBy("region").agg(
+        F.count(F.when(F.col("inside") & (F.col("o") == 1), 1)).alias("n_inside"), F.count(F.when(~F.col("inside") & (F.col("o") == 1), 1)).alias("n_outbound"), F.count(F.when(~F.col("inside") & (F.col("i") == 1), 1)).alias("n_inbound")
+    )
+    own.join(counts, "region", "full").na.fill(0).orderBy("region").write.mode("overwrite").parquet(path)
+
+
 def read_regions(spark: SparkSession, path: str, regions: list[str] | None = None) -> DataFrame:
     """Nodes of the given regions, whose folders alone are read; of all without any."""
     rows = spark.read.parquet(path)

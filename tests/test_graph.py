@@ -66,6 +66,14 @@ def test_pruned_is_the_least_fixpoint(world):
     assert {(r.k, r.node_id) for r in got} == done and {(r.k, r.node_id) for r in got if r.round == 0} == seeds
 
 
+def test_merged_chunks(spark):
+    rows = spark.createDataFrame([("c1", "a"), ("c1", "b"), ("c2", "a"), ("c2", None), ("c3", ""), ("c3", "d")], "chunk_id string, feature_id string")
+    union, errors = graph.merged_chunks(rows)
+    assert sorted(r.feature_id for r in union.collect()) == ["a", "a", "b", "d"]
+    assert {(r.error, r.feature_id, r.first_chunk, r.last_chunk, r.n) for r in errors.collect()} == {("duplicate_id", "a", "c1", "c2", 2), ("missing_id", None, "c2", None, 1), ("missing_id", None, "c3", None, 1)}
+    assert graph.merged_chunks(rows.where("chunk_id = 'c1'"))[1].count() == 0
+
+
 def test_columns(spark):
     e = spark.createDataFrame([("p", "A", "B"), ("p", "B", "C"), ("p", "D", "C"), ("p", "B", "B"), ("q", "a", "b"), ("q", "b", "c"), ("q", "c", "a"), ("q", "c", "d")], "k string, from_node string, to_node string")
     got = {(r.k, r.node_id): (r.depth, r.column) for r in graph.columns(e, ["k"]).collect()}

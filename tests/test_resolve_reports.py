@@ -71,13 +71,18 @@ def test_receivers_and_bases(spark):
 def test_projection_keeps_every_edge(spark):
     rows = [("a", f"x.m{i % 3}", r) for i, r in enumerate(["scope_rule", "skipped_dynamic", "skipped_dynamic", "name_match_ambiguous", "skipped_dynamic"])] + [("b", "y", "name_match")]
     edges = spark.createDataFrame(rows, "from_node string, to_node string, resolution string")
-    got = {r.from_node: (r.methods, r.cardinality, r.n_all) for r in projection.residue(edges, "indeterminate").collect()}
-    assert got == {"a": ("m1:2,m2:1", 3, 6)}
+    got = {(r.from_node, r.method): (r.n, r.cardinality, r.n_all) for r in projection.residue(edges, "indeterminate").collect()}
+    assert got == {("a", "m1"): (2, 3, 6), ("a", "m2"): (1, 3, 6)}
     row = projection.residue_counters(edges).first()
     assert (row.n_edges, row.n_kept, row.indeterminate_callers, row.ambiguous_callers) == (6, 2, 1, 1)
     assert projection.residue(edges.limit(0), "ambiguous").count() == 0
 
 
+def test_risk_filter(spark):
+    cards = spark.createDataFrame([("a", 1, "high"), ("b", 0, "low"), ("c", None, None), ("d", 0, "medium")], "feature_id string, anomaly_count int, confidence string")
+    assert [r.feature_id for r in cards.where(views.risk_filter()).collect()] == ["a", "b"]
+
+
 def test_diff_of_a_version_with_itself_and_backwards(spark):
     f = spark.createDataFrame([("1", "a", "l", None), ("1", "b", "l", "d"), ("2", "a", "l", ""), ("2", "c", None, None), ("1", None, "x", "y")], "version_id string, feature_id string, label string, description string")
     pairs = lambda a, b: spark.createDataFrame([(a, b)], "version_id string, previous_id string")

@@ -82,6 +82,24 @@ def test_versioned_and_regional_folders(spark, tmp_path):
     documents.write_regions(rows, str(tmp_path / "r"))
     assert [r.node_id for r in documents.read_regions(spark, str(tmp_path / "r"), ["a"]).collect()] == ["a/x::f"]
     assert documents.read_regions(spark, str(tmp_path / "r")).count() == 2
+    edges = spark.createDataFrame([("a/x::f", "a/x::g"), ("a/x::f", "b/y::h"), ("c::z", "a/x::f")], "from_node string, to_node string")
+    documents.region_index(rows.withColumn("file", F.substring_index("node_id", "::", 1)), edges, str(tmp_path / "i"))
+    index = {r.region: (r.n_nodes, r.n_inside, r.n_outbound, r.n_inbound) for r in spark.read.parquet(str(tmp_path / "i")).collect()}
+    assert index["a"][1:] == (1, 1, 1) and index["_root_"] == (0, 0, 1, 0)
+
+
+def test_structure_is_written_as_it_is_read(spark, tmp_path):
+    import json
+
+    given = {"files": [{"path": "a.py", "language": "python"}], "nodes": [{"node_id": "a.py::g", "name": "g"}, {"node_id": "a.py::f", "name": "f"}], "edges": [{"from": "a.py::g", "to": "a.py::f", "type": "calls"}], "topology": [{"node_id": "a.py::f", "in_degree": 1}]}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.json").write_text(json.dumps(given))
+    tables = {k: v.withColumn("document", F.lit("one")) for k, v in documents.structures(spark, str(tmp_path / "in")).items()}
+    documents.write_structure(tables["files"], tables["nodes"], tables["edges"], tables["topology"], str(tmp_path / "out"))
+    again = documents.structures(spark, str(tmp_path / "out" / "document=one"))
+    for name, order in (("nodes", "node_ord"), ("edges", "edge_ord")):
+        a, b = [[r.asDict() | {"document": ""} for r in t[name].orderBy(order).collect()] for t in (tables, again)]
+        assert a == b and len(a) == len(given[name])
 
 
 def test_small_stores(spark):
