@@ -31,6 +31,8 @@ _MODIFIERS = (
     "public protected private internal static final abstract synchronized native default strictfp virtual override sealed async extern unsafe partial readonly new"
 )
 
+_rx = cache(regex.compile)
+
 
 def _words(text: str) -> str:
     return "|".join(text.split())
@@ -96,11 +98,11 @@ def doc_text(language: str, doc: str) -> str:
         try:
             return str(ast.literal_eval(doc if doc.startswith("(") else f"({doc})"))
         except (ValueError, SyntaxError, MemoryError, RecursionError):
-            return regex.sub(r"""^\(?[rRuU]?["']{1,3}|["']{1,3}\)?$""", "", doc)
+            return _rx(r"""^\(?[rRuU]?["']{1,3}|["']{1,3}\)?$""").sub("", doc)
     if doc.lstrip().startswith("/*"):
-        inner = regex.sub(r"^\s*/\*+|\*+/\s*$", "", doc)
-        return "\n".join(regex.sub(r"^\s*\*+ ?", "", x) for x in inner.split("\n"))
-    return "\n".join(regex.sub(r"^\s*//+!? ?", "", x) for x in doc.split("\n"))
+        inner = _rx(r"^\s*/\*+|\*+/\s*$").sub("", doc)
+        return "\n".join(_rx(r"^\s*\*+ ?").sub("", x) for x in inner.split("\n"))
+    return "\n".join(_rx(r"^\s*//+!? ?").sub("", x) for x in doc.split("\n"))
 
 
 #: Heading words of documentation sections.
@@ -131,7 +133,7 @@ _MARK = regex.compile(r"^\W*(?:todo|fixme|tbd|tbc|xxx|wip)\b", regex.I)
 
 
 def _parts(name: str) -> list[str]:
-    return [x.lower() for x in regex.findall(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\d+|[^\W_]", name)]
+    return [x.lower() for x in _rx(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\d+|[^\W_]").findall(name)]
 
 
 def real_lines(text: str) -> list[str]:
@@ -142,7 +144,7 @@ def real_lines(text: str) -> list[str]:
             continue
         for n in _NAMING:
             line = n.sub("", line)
-        line = regex.sub(r"\{@\w+\s+([^}]*)\}", r"\1", line).strip()
+        line = _rx(r"\{@\w+\s+([^}]*)\}").sub(r"\1", line).strip()
         if line:
             kept.append(line)
     return kept
@@ -200,7 +202,7 @@ def parameters(text: str) -> list[str]:
             parts.append(inner[begin:i])
             begin = i + 1
     parts.append(inner[begin:])
-    stripped = (regex.sub(r"\#[^\n]*|//[^\n]*|/\*.*?\*/", "", p, flags=regex.S).strip() for p in parts)
+    stripped = (_rx(r"\#[^\n]*|//[^\n]*|/\*.*?\*/", regex.S).sub("", p).strip() for p in parts)
     return [p for p in stripped if p]
 
 
@@ -208,12 +210,12 @@ def _is_method(language: str, params: list[str], code: str, whole: str) -> bool:
     if language == "python":
         return bool(params) and params[0].split(":")[0].strip() in ("self", "cls")
     if language == "go":
-        return bool(regex.match(r"func\s*\(", code))
+        return bool(_rx(r"func\s*\(").match(code))
     if language == "rust":
-        return bool(params) and bool(regex.match(r"(?:&\s*(?:'\w+\s+)?)?(?:mut\s+)?self\b", params[0]))
+        return bool(params) and bool(_rx(r"(?:&\s*(?:'\w+\s+)?)?(?:mut\s+)?self\b").match(params[0]))
     if language in ("java", "csharp"):
         return True
-    return not regex.search(r"^(?:@\S+\s*)*(?:export\s+|default\s+|declare\s+|async\s+)*(?:function|const)\b", code)
+    return not _rx(r"^(?:@\S+\s*)*(?:export\s+|default\s+|declare\s+|async\s+)*(?:function|const)\b").search(code)
 
 
 _SCHEMA = pa.schema([
@@ -224,7 +226,7 @@ _DDL = "file_id bigint, path string, language string, name string, line_no bigin
 
 
 def _cleaned(text: str) -> str:
-    return text if text.isascii() else regex.sub("[\ud800-\udfff]", "\N{REPLACEMENT CHARACTER}", text)
+    return text if text.isascii() else _rx("[\ud800-\udfff]").sub("\N{REPLACEMENT CHARACTER}", text)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

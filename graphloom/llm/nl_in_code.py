@@ -15,6 +15,7 @@ that fits two languages alike goes to the one named first in LANGUAGES; other co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -26,6 +27,7 @@ from graphloom.llm.lexical import language_of, spans_pattern
 from graphloom.operators.skew import HOT_ROWS, hot_keys, looked_up, spread
 from graphloom.session import checkpoint
 
+_rx = cache(regex.compile)
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "zh", "ja")
 LEAST_WORDS, LEAST_WIDE = 5, 8
 
@@ -113,8 +115,8 @@ def literal_text(language: str, raw: str) -> str:
 def comment_text(raw: str) -> str:
     """A comment's text without its marks."""
     if raw.startswith("/*"):
-        return "\n".join(regex.sub(r"^\s*\*+\s?", "", x) for x in regex.sub(r"^/\*+!?|\*+/$", "", raw).split("\n"))
-    return regex.sub(r"^(?:\#+!?|/{2,}!?)\s?", "", raw)
+        return "\n".join(_rx(r"^\s*\*+\s?").sub("", x) for x in _rx(r"^/\*+!?|\*+/$").sub("", raw).split("\n"))
+    return _rx(r"^(?:\#+!?|/{2,}!?)\s?").sub("", raw)
 
 
 def _size(text: str) -> int:
@@ -149,9 +151,10 @@ def latin_language(words: list[str]) -> str | None:
         for p in pieces:
             for k, x in _WEIGHTS.get(p, {}).items():
                 score[k] += x
-        for k, letters in LETTERS.items():
-            if any(c in letters for c in w):
-                score[k] += 0.5
+        if not w.isascii():  # none of the letters is
+            for k, letters in LETTERS.items():
+                if any(c in letters for c in w):
+                    score[k] += 0.5
         if w.endswith(("ção", "ções")):
             score["pt"] += 0.5
         elif w.endswith(("ción", "ciones")):
@@ -163,9 +166,10 @@ def latin_language(words: list[str]) -> str | None:
     for w in words:
         for k, x in _OTHER.get(w, {}).items():
             other[k] += x
-        for k, letters in OTHER_LETTERS.items():
-            if any(c in letters for c in w):
-                other[k] += 0.5
+        if not w.isascii():
+            for k, letters in OTHER_LETTERS.items():
+                if any(c in letters for c in w):
+                    other[k] += 0.5
     return best if score[best] >= max(other.values()) else None
 
 
@@ -197,10 +201,10 @@ def sentences(text: str) -> Iterator[str]:
             starts, bare = True, ""
         else:
             marked = _MARKER.sub("", bare)
-            starts = marked != bare or bare[0] in "@:#*-+•<|>" or bool(regex.match(r"\d+[.)]\s", bare)) or (
+            starts = marked != bare or bare[0] in "@:#*-+•<|>" or bool(_rx(r"\d+[.)]\s").match(bare)) or (
                 bool(paragraph) and paragraph[-1].endswith((".", "!", "?", "。", "！", "？", ":"))
             )
-            bare = regex.sub(r"</?[A-Za-z][^<>]*>", " ", regex.sub(r"^(?:[@:]\w+:?\s+(?:\w+\s*:)?|[*\-+•>#]+\s+|\d+[.)]\s+)", "", marked)).strip()
+            bare = _rx(r"</?[A-Za-z][^<>]*>").sub(" ", _rx(r"^(?:[@:]\w+:?\s+(?:\w+\s*:)?|[*\-+•>#]+\s+|\d+[.)]\s+)").sub("", marked)).strip()
         if starts and paragraph:
             yield from _END.split(" ".join(paragraph))
             paragraph = []

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from graphloom.operators.skew import spread
 
+_rx = cache(regex.compile)
 #: At least so much of a sentence must be phrases for it to be a notice or filler.
 SENTENCE_COVERAGE = 0.4
 #: At least so much of a document's sentences must be notices for it to be one.
@@ -179,7 +180,7 @@ def _pieces(text: str) -> Iterator[tuple[int, str]]:
 def latin_filler(sentence: str) -> bool:
     """Whether four words in a row, two of them telling, are of the usual filler."""
     run = telling = 0
-    for w in regex.findall(r"[\p{L}']+", sentence.lower()):
+    for w in _rx(r"[\p{L}']+").findall(sentence.lower()):
         if w in _LATIN:
             run += 1
             telling += w not in _COMMON
@@ -218,7 +219,7 @@ def has_residue(text: str) -> bool:
 
 def is_notice(text: str) -> bool:
     """Whether the document as a whole is an error message or page, or an access or script notice."""
-    if _JSON_ERROR.match(text) and regex.search(r"\"(?:error|errors)\"\s*:", text, regex.I):
+    if _JSON_ERROR.match(text) and _rx(r"\"(?:error|errors)\"\s*:", regex.I).search(text):
         return True
     notices, _, _, signs, around = hits(_lower(text))
     if not notices and not signs:
@@ -255,7 +256,7 @@ def is_notice(text: str) -> bool:
             covered = _covered(inside if told_of else [*inside, *around[w:v]], text)
         if inside and covered >= SENTENCE_COVERAGE * max(1, told):
             matched += letters
-        elif told <= 0 or (not inside and len(line) < 80 and len(line.split()) <= 12 and not regex.search(r"[.!?。！？:：`#*\-]", line) and _is_menu(line)):
+        elif told <= 0 or (not inside and len(line) < 80 and len(line.split()) <= 12 and not _rx(r"[.!?。！？:：`#*\-]").search(line) and _is_menu(line)):
             continue
         else:
             other += letters
@@ -264,7 +265,7 @@ def is_notice(text: str) -> bool:
 
 def _is_menu(line: str) -> bool:
     """A line of a page's frame: a few words, alone or between bars."""
-    parts = regex.split(r"\s*[|•·›»/>]\s*", line)
+    parts = _rx(r"\s*[|•·›»/>]\s*").split(line)
     return all(len(p.split()) <= 2 for p in parts) and not line.startswith("|")
 
 
