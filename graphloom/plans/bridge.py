@@ -44,9 +44,9 @@ UNION ALL SELECT file || '::' || c_name, c_name, file, 'function', c_custkey * 2
   CASE l_returnflag WHEN 'R' THEN 'skipped_dynamic' WHEN 'A' THEN 'name_match_ambiguous' ELSE (CASE WHEN l_linestatus = 'O' THEN 'scope_rule' ELSE 'import_alias' END) END AS resolution,
   o_custkey, l_suppkey, l_orderkey
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN [sup] ON l_suppkey = s_suppkey JOIN [cus] ON o_custkey = c_custkey""",
-    # Parts as definitions of a name in a file of a package, line items as calls of a name.
-    "definitions": """SELECT p_partkey AS node_ord, p_name AS name, p_brand AS file, p_type AS package, 'p/' || CAST(p_partkey AS {text}) AS node_id FROM {part}""",
-    "calls": """SELECT DISTINCT l_suppkey AS caller, p_name AS name, 'Brand#' || CAST(l_suppkey % 25 + 1 AS {text}) AS file, CASE WHEN l_linestatus = 'O' THEN p_type ELSE 'elsewhere' END AS package FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
+    # Parts as definitions of a name in a file of a package, line items as calls of a name; a tenth has names that many share, the others names of few.
+    "definitions": """SELECT p_partkey AS node_ord, CASE WHEN p_size % 10 = 0 THEN p_name ELSE p_name || ' ' || CAST(p_partkey % 199 AS {text}) END AS name, p_brand AS file, p_type AS package, 'p/' || CAST(p_partkey AS {text}) AS node_id FROM {part}""",
+    "calls": """SELECT DISTINCT l_suppkey AS caller, CASE WHEN p_size % 10 = 0 THEN p_name ELSE p_name || ' ' || CAST(p_partkey % 199 AS {text}) END AS name, 'Brand#' || CAST(l_suppkey % 25 + 1 AS {text}) AS file, CASE WHEN l_linestatus = 'O' THEN p_type ELSE 'elsewhere' END AS package FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     # Orders as versions of what a customer is: a year is a version.
     "yearly": """SELECT CAST(year(o_orderdate) AS {text}) AS version_id, CAST(o_custkey AS {text}) AS feature_id, max(o_orderpriority) AS label, min(o_orderstatus) AS description
 FROM {orders} GROUP BY year(o_orderdate), o_custkey""",
