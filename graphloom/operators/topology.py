@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.paths import has_entry_decorator, in_entry_folder, is_cli_entry
 from graphloom.operators.skew import ranked
+from graphloom.session import checkpoint
 
 MOST_BATCHES = 5
 
@@ -71,5 +72,5 @@ def topology_ranks(found: DataFrame, keys: list[str] | None = None) -> DataFrame
 def topology(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """All of the above for every node."""
     keys = keys or []
-    found = entry_points(degrees(nodes, known_edges(nodes, edges, keys), keys))
+    found = checkpoint(entry_points(degrees(nodes, known_edges(nodes, edges, keys), keys)))  # both orders read it twice
     return topology_ranks(batches(found, keys), keys)
