@@ -13,7 +13,7 @@ package matches nothing; of several definitions the one with the least node_ord
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: More candidates than this make a match by name ambiguous.
@@ -44,21 +44,46 @@ def by_alias(calls: DataFrame, aliases: DataFrame, definitions: DataFrame) -> Da
     return calls.join(meant.drop("original"), ["file", "name"], "left")
 
 
-def resolve(calls: DataFrame, definitions: DataFrame, aliases: DataFrame | None = None, dynamic: F.Column | None = None, strategy: F.Column | None = None) -> DataFrame:
+def _by_name(calls: DataFrame, definitions: DataFrame, aliases: DataFrame | None, distinct: bool) -> DataFrame:
+    """calls of a name with in_file, in_package, by_alias and n_candidates, as by_scope, by_alias and name_index give them.
+
+    Joins by (name, file), (name, package) and name would move the calls three times. Here calls, definitions and aliases
+    move once, to the partition of their name, where calls are made distinct if asked for and windows find the first of each.
+    """
+    nodes, own = dict(definitions.dtypes), dict(calls.dtypes)
+
+    def marked(df: DataFrame, kind: str, node: str | None = None, order: str | None = None) -> DataFrame:
+        spare = {c: F.lit(None).cast(t) for c, t in own.items() if c not in df.columns}
+        marks = {"__kind": F.lit(kind), "__node": F.col(node) if node else F.lit(None).cast(nodes["node_id"]), "__ord": F.col(order) if order else F.lit(None).cast(nodes["node_ord"])}
+        return df.where(F.col("name").isNotNull()).withColumns(spare | marks).select(*own, *marks)
+
+    rows = marked(calls, "call").unionByName(marked(definitions.select("name", "file", "package", "node_id", "node_ord"), "definition", "node_id", "node_ord"))
+    if aliases is not None:
+        meant = aliases.select("file", F.col("alias").alias("name"), "original").join(_first(definitions, ["name"], "by_alias").withColumnRenamed("name", "original"), "original")
+        rows = rows.unionByName(marked(meant.where("file is not null").select("file", "name", "by_alias"), "alias", "by_alias"))
+    rows = rows.repartition("name")
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("__times")) if distinct else rows.withColumn("__times", F.lit(1).cast("bigint"))
+    file, package, name = [Window.partitionBy("name", *k) for k in (["file"], ["package"], [])]
+    defined, alias = F.col("__kind") == "definition", F.col("__kind") == "alias"
+    first = F.min_by("__node", F.when(defined, F.col("__ord")))
+    meanings = F.flatten(F.collect_list(F.when(alias, F.array_repeat("__node", F.col("__times").cast("int")))).over(file))
+    met = rows.withColumns({"in_file": F.when(F.col("file").isNotNull(), first.over(file)), "__meant": meanings})
+    met = met.withColumns({"in_package": F.when(F.col("package").isNotNull(), first.over(package)), "n_candidates": F.coalesce(F.sum(F.when(defined, F.col("__times"))).over(name), F.lit(0))})
+    return met.where("__kind = 'call'").select(*own, "in_file", "in_package", "n_candidates", F.explode_outer("__meant").alias("by_alias"))
+
+
+def resolve(calls: DataFrame, definitions: DataFrame, aliases: DataFrame | None = None, dynamic: F.Column | None = None, strategy: F.Column | None = None, distinct: bool = False) -> DataFrame:
     """Of every call site its target, resolution and number of candidates.
 
     Tiers: dynamic calls mean all candidates (skipped_dynamic), then the file or package (scope_rule), then imports
     (import_alias), then all candidates of the name (name_match, or name_match_ambiguous over FANOUT_LIMIT). target is
-    null where all candidates are meant; strategy is by file if it isn't given.
+    null where all candidates are meant; strategy is by file if it isn't given. With distinct, calls that are alike count once.
     """
-    ruled = strategy if strategy is not None else F.lit("file")
-    met = by_scope(calls.withColumn("__strategy", ruled).withColumn("__dynamic", dynamic if dynamic is not None else F.lit(False)), definitions)
-    met = by_alias(met, aliases, definitions) if aliases is not None else met.withColumn("by_alias", F.lit(None).cast("string"))
-    met = met.join(name_index(definitions).select("name", "n_candidates"), "name", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
-    how = F.col("__strategy")
+    met = _by_name(calls, definitions, aliases, distinct)
+    how = strategy if strategy is not None else F.lit("file")
     scope = F.when(how == "file", F.col("in_file")).when(how == "package", F.col("in_package"))
     alias = F.when(how.isNotNull(), F.col("by_alias"))
-    skipped = F.coalesce(F.col("__dynamic"), F.lit(False)) & how.isNotNull()
+    skipped = F.coalesce(dynamic if dynamic is not None else F.lit(False), F.lit(False)) & how.isNotNull()
     resolution = F.when(skipped, "skipped_dynamic").when(scope.isNotNull(), "scope_rule").when(alias.isNotNull(), "import_alias").when(
         F.col("n_candidates") > FANOUT_LIMIT, "name_match_ambiguous"
     ).otherwise("name_match")
@@ -74,6 +99,35 @@ def expanded(resolved: DataFrame, definitions: DataFrame, name: str = "name") ->
     return single.unionByName(many.withColumn("target", F.col("__node")).select(*resolved.columns))
 
 
+def counted(resolved: DataFrame, definitions: DataFrame, keys: list[str], loops: bool = True) -> DataFrame:
+    """keys..., target, n: how often `expanded` has each, for keys that hold the name and the resolution.
+
+    Calls are counted before they get a row for each definition, and stay in the partition of their name, so the pairs,
+    which may grow as the square of the input, are never moved. Without loops, those of a caller with itself are left out.
+    """
+    placed = resolved.repartition("name")
+    single = placed.where(F.col("target").isNotNull()).groupBy(*keys, "target").agg(F.count("*").alias("n"))
+    many = placed.where(F.col("target").isNull()).groupBy(*keys).agg(F.count("*").alias("__calls"))
+    every = definitions.repartition("name").groupBy("name", F.col("node_id").alias("target")).agg(F.count("*").alias("__times"))
+    if not loops:  # the caller's text is made once, not for each pair
+        single, many = single.where(F.col("caller").cast("string") != F.col("target")), many.withColumn("__self", F.col("caller").cast("string"))
+    met = many.join(every, "name") if loops else many.join(every, "name").where(F.col("__self") != F.col("target"))
+    return single.unionByName(met.select(*keys, "target", (F.col("__calls") * F.col("__times")).alias("n")))
+
+
+def edge_counts(resolved: DataFrame, definitions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """`call_edges` of all that calls mean, each once with n, how often it occurs.
+
+    Only if a node goes by several names, its own or imported ones, are the counts of its names to be added up.
+    """
+    found = counted(resolved, definitions, ["caller", "name", "resolution"], loops=False)
+    edges = found.select(F.col("caller").alias("from_node"), F.col("target").alias("to_node"), F.lit("calls").alias("type"), "resolution", "n")
+    named = definitions.groupBy("node_id").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
+    if named.isEmpty() and aliases.where("alias <> original").isEmpty():
+        return edges
+    return edges.groupBy(*[c for c in edges.columns if c != "n"]).agg(F.sum("n").alias("n"))
+
+
 def receivers(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     """Calls of a method on a class (receiver, method): the definition that is named `receiver.method` in its node id, else the first of the method in a file that defines the class.
 

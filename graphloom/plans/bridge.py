@@ -72,11 +72,12 @@ def _needed(name: str) -> list[str]:
     return [*dict.fromkeys(y for x in inner for y in (*_needed(x), x))]
 
 
-def view(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """The view `name` of the directory d."""
+def view(spark: SparkSession, d: str, name: str, distinct: bool = True) -> DataFrame:
+    """The view `name` of the directory d; one of distinct rows without that step, if what takes it makes them distinct."""
     names = {t: f"parquet.`{d}/{t}.parquet`" for t in BASE} | _SPARK
     parts = [f"{n} AS ({VIEWS[n].format_map(names)})" for n in _needed(name)]
-    text = (f"WITH {', '.join(parts)} " if parts else "") + VIEWS[name].format_map(names)
+    body = VIEWS[name] if distinct else re.sub(r"^SELECT DISTINCT ", "SELECT ", VIEWS[name])
+    text = (f"WITH {', '.join(parts)} " if parts else "") + body.format_map(names)
     return spark.sql(re.sub(r"\[(\w+)\]", r"\1", text).replace('"timestamp"', "`timestamp`"))
 
 

@@ -380,7 +380,7 @@ def _aliases(s: SparkSession, d: str) -> DataFrame:
 
 
 def _resolved(s: SparkSession, d: str, dynamic=None) -> DataFrame:
-    return resolve.resolve(V(s, d, "calls"), V(s, d, "definitions"), _aliases(s, d), dynamic, F.expr(_STRATEGY.format("caller")))
+    return resolve.resolve(V(s, d, "calls", False), V(s, d, "definitions"), _aliases(s, d), dynamic, F.expr(_STRATEGY.format("caller")), True)
 
 
 @query("e04_resolution_cascade", "definitions calls", f"{_RESOLVED} SELECT * FROM res")
@@ -407,8 +407,7 @@ def e07(s, d):
 @query("e08_dynamic_dispatch", "definitions calls", f"""{_RESOLVED}, dyn AS (SELECT c.caller, c.name, 'skipped_dynamic' AS resolution, x.node_id AS target FROM calls c JOIN definitions x ON x.name = c.name WHERE starts_with(c.package, 'ECONOMY') AND c.caller % 4 < 3
  UNION ALL SELECT caller, name, resolution, target FROM res WHERE NOT (starts_with(package, 'ECONOMY') AND caller % 4 < 3)) SELECT caller, name, resolution, target, count(*) AS n FROM dyn GROUP BY ALL""")
 def e08(s, d):
-    rows = resolve.expanded(_resolved(s, d, F.startswith("package", F.lit("ECONOMY"))), V(s, d, "definitions"))
-    return rows.groupBy("caller", "name", "resolution", "target").agg(F.count("*").alias("n"))
+    return resolve.counted(_resolved(s, d, F.startswith("package", F.lit("ECONOMY"))), V(s, d, "definitions"), ["caller", "name", "resolution"])
 
 
 @query("e10_receiver_methods", "live_nodes code_edges", """defs AS (SELECT node_id, name, file, type, node_ord FROM live_nodes),
@@ -426,8 +425,7 @@ def e10(s, d):
 
 @query("e11_call_edges", "definitions calls", f"{_RESOLVED} SELECT caller AS from_node, target AS to_node, 'calls' AS type, resolution, count(*) AS n FROM res GROUP BY 1, 2, 3, 4")
 def e11(s, d):
-    found = resolve.expanded(_resolved(s, d), V(s, d, "definitions"))
-    return resolve.call_edges(found).groupBy("from_node", "to_node", "type", "resolution").agg(F.count("*").alias("n"))
+    return resolve.edge_counts(_resolved(s, d), V(s, d, "definitions"), _aliases(s, d))
 
 
 @query("e13_import_edges", "definitions calls", """src AS (SELECT file, arg_min(node_id, node_ord) AS from_node FROM definitions GROUP BY 1), i AS (SELECT DISTINCT file, name FROM calls)

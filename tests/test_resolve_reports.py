@@ -49,6 +49,25 @@ def test_every_candidate_is_an_edge(spark, n, how):
     assert {(r.to_node, r.resolution) for r in found} == {(f"f{i}.py::go", how) for i in range(n)}
 
 
+def test_pairs_are_counted_without_being_moved(spark):
+    defs = spark.createDataFrame([(f"n{i}", "go", f"f{i}.py", "", i, "function") for i in (0, 1, 1, 2, 3)] + [("n1", "also", "f1.py", "", 4, "function"), ("n0", "n0", "f0.py", "", 5, "function")], DEFS)
+    rows = [("n2", "go", "m.py", ""), ("n2", "go", "m.py", ""), ("n2", "go", "o.py", ""), ("n2", "also", "m.py", ""), ("n0", "n0", "f0.py", ""), ("n2", "mine", "m.py", ""), ("n2", None, "m.py", "")]
+    calls = spark.createDataFrame(rows, "caller string, name string, file string, package string")
+    aliases = spark.createDataFrame([("m.py", "mine", "also")], "file string, alias string, original string")
+    found = resolve.resolve(calls, defs, aliases, distinct=True)
+    twice = resolve.resolve(calls.distinct(), defs, aliases)
+    assert sorted(found.collect()) == sorted(twice.collect()) and found.count() == 5
+    pairs = resolve.expanded(twice, defs)
+    keys = ["caller", "name", "resolution"]
+    counts = resolve.counted(found, defs, keys)
+    assert sorted(counts.collect()) == sorted(pairs.groupBy(*keys, "target").count().collect())
+    edges = resolve.edge_counts(found, defs, aliases)
+    by = ["from_node", "to_node", "type", "resolution"]
+    assert sorted(edges.collect()) == sorted(resolve.call_edges(pairs).groupBy(*by).count().collect())
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(caller" not in plan and "target" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
 def test_receivers_and_bases(spark):
     rows = [("self", "a.py::A.f", "A"), ("A", "a.py::f", None), ("X", "a.py::f", None), ("odd", "a.py::f", None), (None, "a.py::f", None)]
     calls = spark.createDataFrame([(c, r, "run", "a.py", "", k) for r, c, k in rows] + [("b/c.py::g", "self", "run", "b/c.py", "b", "G"), ("b/c.py::g", "B", "gone", "b/c.py", "b", None)], "caller string, receiver string, method string, file string, package string, caller_class string")
