@@ -6,6 +6,7 @@ Rounds stop when nothing changes; their lineage is cut by checkpoints. keys (say
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,9 @@ MOST_HOPS = 2
 BAND = 8
 #: Edges of a connected component that one task walks.
 MOST_WALKED = 1_000_000
+#: Edges of a scope that goes to one task whole, and rows that a task gathers about.
+MOST_GATHERED = 100_000
+PER_BIN = 50_000
 
 
 def undirected(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,17 +69,85 @@ def reach(starts: DataFrame, edges: DataFrame, keys: list[str], most_hops: int |
     return found
 
 
-def linked(pairs: DataFrame, owned: DataFrame, edges: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
+def linked(pairs: DataFrame, owned: DataFrame, edges: DataFrame, keys: list[str], scope: list[str], most: int = MOST_GATHERED) -> DataFrame:
     """The pairs (keys..., from_feature, to_feature) whose nodes a path of edges (scope..., from_node, to_node) of any length joins.
 
-    owned is (keys..., scope..., feature_id, node_id). A node that both features own is a path.
+    owned is (keys..., scope..., feature_id, node_id), keys are texts. A node that both features own is a path. No path leaves a scope or a
+    connected component, so tasks walk whole scopes, or the components of a scope of more than `most` edges, and only pairs
+    that are found leave them. Components of more than MOST_WALKED edges are walked by rounds of joins.
     """
     own = owned.where(F.col("node_id").isNotNull()).select(*keys, *scope, "feature_id", "node_id").distinct()
-    begun = pairs.select(*keys, "from_feature", "to_feature").distinct().join(own.withColumnsRenamed({"feature_id": "from_feature", "node_id": "source"}), [*keys, "from_feature"])
-    lines = checkpoint(edges.select(*scope, "from_node", "to_node").distinct())
-    reached = reach(begun.select(*scope, "source", F.col("source").alias("node_id")), lines, scope)
-    ends = own.withColumnRenamed("feature_id", "to_feature")
-    return begun.join(reached, [*scope, "source"]).join(ends, [*keys, *scope, "to_feature", "node_id"], "left_semi").select(*keys, "from_feature", "to_feature").distinct()
+    asked = pairs.select(*keys, "from_feature", "to_feature").distinct()
+    begun = checkpoint(asked.join(own.withColumnRenamed("feature_id", "from_feature"), [*keys, "from_feature"]))
+    ends = checkpoint(own.withColumnRenamed("feature_id", "to_feature").join(asked, [*keys, "to_feature"], "left_semi"))
+    lines = checkpoint(edges.select(*scope, "from_node", "to_node").dropna())
+    sizes = lines.groupBy(*scope).agg(F.count("*").alias("n"))
+    total = int(sizes.agg(F.sum("n")).first()[0] or 0) + ends.count()
+    large = checkpoint(sizes.where(F.col("n") > most).select(*scope))
+    parts = huge = None
+    if not large.isEmpty():
+        inside = lines.join(large, scope, "left_semi")
+        parts = components(inside.select(*scope, F.explode(F.array("from_node", "to_node")).alias("node_id")), inside, scope)
+        sized = inside.join(parts.withColumnRenamed("node_id", "from_node"), [*scope, "from_node"]).groupBy(*scope, "component").count()
+        huge = checkpoint(sized.where(F.col("count") > MOST_WALKED).select(*scope, "component"))
+    bins = max(1, total // PER_BIN)
+
+    def placed(df: DataFrame, node: str) -> DataFrame:
+        if parts is None:
+            return df.withColumn("bin", F.pmod(F.hash(*scope), F.lit(bins)))
+        met = df.join(parts.withColumnRenamed("node_id", node), [*scope, node], "left").join(huge, [*scope, "component"], "left_anti")
+        return met.withColumn("bin", F.pmod(F.hash(*scope, "component"), F.lit(bins))).select(*df.columns, "bin")
+
+    none = F.lit(None).cast("string")
+    rows = [
+        placed(lines, "from_node").select("bin", *scope, *[F.lit(None).cast(t).alias(k) for k, t in begun.select(*keys).dtypes], none.alias("from_feature"), none.alias("to_feature"), F.col("from_node").alias("node_id"), "to_node"),
+        placed(begun, "node_id").select("bin", *scope, *keys, "from_feature", "to_feature", "node_id", none.alias("to_node")),
+        placed(ends, "node_id").select("bin", *scope, *keys, none.alias("from_feature"), "to_feature", "node_id", none.alias("to_node")),
+    ]
+    kinds = dict(begun.dtypes)
+    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "from_feature", "to_feature"))
+    out = [*keys, "from_feature", "to_feature"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        split = [pdf[pdf["to_node"].notna()], pdf[pdf["from_feature"].notna()], pdf[pdf["to_node"].isna() & pdf["from_feature"].isna()]]
+        lists = [zip(zip(*[x[c] for c in scope], strict=True), zip(*[x[c] for c in keys], strict=True), x["from_feature"], x["to_feature"], x["node_id"], x["to_node"], strict=True) for x in split]
+        return pd.DataFrame([(*k, a, b) for k, a, b in joined_pairs(*map(list, lists))], columns=out)
+
+    found = reduce(DataFrame.unionByName, rows).groupBy("bin").applyInPandas(run, ddl)
+    if huge is not None and not huge.isEmpty():
+        inside = parts.join(huge, [*scope, "component"], "left_semi").select(*scope, "node_id")
+        hard = begun.join(inside, [*scope, "node_id"], "left_semi").withColumnRenamed("node_id", "source")
+        step = lines.join(inside.withColumnRenamed("node_id", "from_node"), [*scope, "from_node"], "left_semi")
+        reached = reach(hard.select(*scope, "source", F.col("source").alias("node_id")), step, scope)
+        found = found.unionByName(hard.join(reached, [*scope, "source"]).join(ends, [*keys, *scope, "to_feature", "node_id"], "left_semi").select(*out))
+    return found.distinct()
+
+
+def joined_pairs(edges: list[tuple], starts: list[tuple], ends: list[tuple]) -> set[tuple]:
+    """(key, from_feature, to_feature) of starts from which edges lead to a node of ends; each row is (scope, key, from_feature, to_feature, node, next node)."""
+    ahead: dict[tuple, list[str]] = {}
+    for scope, _, _, _, a, b in edges:
+        ahead.setdefault((scope, a), []).append(b)
+    goals: dict[tuple, set[str]] = {}
+    for scope, key, _, to, n, _ in ends:
+        goals.setdefault((scope, key, to), set()).add(n)
+    wanted: dict[tuple, set[tuple]] = {}
+    for scope, key, a, b, n, _ in starts:
+        if (scope, key, b) in goals:
+            wanted.setdefault((scope, n), set()).add((key, a, b))
+    found: set[tuple] = set()
+    for (scope, source), asked in wanted.items():
+        asked = asked - found
+        if not asked:
+            continue
+        seen, stack = {source}, [source]
+        while stack:
+            for m in ahead.get((scope, stack.pop()), ()):
+                if m not in seen:
+                    seen.add(m)
+                    stack.append(m)
+        found |= {(k, a, b) for k, a, b in asked if not seen.isdisjoint(goals[scope, k, b])}
+    return found
 
 
 def pruned(seeds: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:

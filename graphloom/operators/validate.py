@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.paths import persistence_reason, schema_file_reason
 from graphloom.functions.text import term_hits, word_count
 from graphloom.operators.graph import linked
+from graphloom.session import checkpoint
 
 #: Closed vocabularies.
 VOCABULARIES = {
@@ -72,6 +73,17 @@ def uncovered(nodes: DataFrame, covered: DataFrame, keys: list[str]) -> DataFram
     return nodes.select(*keys, "node_id").distinct().join(covered.select(*keys, "node_id").distinct(), [*keys, "node_id"], "left_anti")
 
 
+def incomplete(outputs: DataFrame, nodes: DataFrame, covered: DataFrame, key: list[str], scope: list[str]) -> DataFrame:
+    """key... of the outputs (key..., scope...) that `uncovered` has a node of, by counting: outputs never meet all nodes of their scope."""
+    there = nodes.select(*scope, "node_id").where(F.col("node_id").isNotNull()).distinct()
+    held = covered.select(*key, "node_id").repartition(*key).distinct().join(outputs.select(*key, *scope).distinct(), key).join(there, [*scope, "node_id"], "left_semi")
+    counts = held.groupBy(*key, *scope).agg(F.count("*").alias("n_held"))
+    nameless = nodes.where(F.col("node_id").isNull()).select(*scope, F.lit(1).alias("n_nodes"))  # no output covers them
+    sizes = there.select(*scope, F.lit(1).alias("n_nodes")).union(nameless).groupBy(*scope).agg(F.sum("n_nodes").alias("n_nodes"))
+    met = outputs.select(*key, *scope).distinct().join(sizes, scope).join(counts, [*key, *scope], "left")
+    return met.where(F.coalesce("n_held", F.lit(0)) < F.col("n_nodes")).select(*key)
+
+
 def anchor_errors(features: DataFrame, nodes: DataFrame, key: list[str], scope: str = "project_id") -> DataFrame:
     """Features (key..., scope, feature_id, source_nodes) without nodes (node_id null), and their nodes that don't exist."""
     empty = features.where(F.coalesce(F.size("source_nodes"), F.lit(0)) == 0).select(*key, "feature_id", F.lit(None).cast("string").alias("node_id"))
@@ -125,15 +137,15 @@ def passed(checks: dict[str, DataFrame], all_keys: DataFrame, keys: list[str]) -
 def output_checks(outputs: DataFrame, live: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """passed() of the five checks of outputs (output_id, project_id, l1), all of them run; live are the nodes that must be covered."""
     key, scope = ["output_id"], ["project_id"]
+    outputs = checkpoint(outputs)
     features = outputs.select(*key, *scope, F.inline("l1.features"))
     relations = outputs.select(*key, F.inline("l1.feature_relations")).withColumnsRenamed({"from": "from_feature", "to": "to_feature"})
     owned = features.select(*key, *scope, "feature_id", F.explode("source_nodes").alias("node_id"))
     excepted = F.flatten(F.array_compact(F.array("l1.unclassified_nodes", "l1.infrastructure_nodes")))
     covered = owned.select(*key, "node_id").union(outputs.select(*key, F.explode(excepted).alias("node_id")))
-    wanted = outputs.select(*key, *scope).distinct().join(live.select(*scope, "node_id").distinct(), scope)
     checks = {
         "schema": output_schema_errors(outputs, features, relations, key),
-        "coverage": uncovered(wanted, covered, key),
+        "coverage": incomplete(outputs, live, covered, key, scope),
         "language": language_errors(features, [*key, "feature_id"]),
         "anchor": anchor_errors(features, nodes, key),
         "relation": relation_errors(relations, features, linked(relations.where("relation_type = 'static'"), owned, edges, key, scope), key),

@@ -1,3 +1,5 @@
+import pytest
+
 from graphloom.operators import graph, validate
 
 EDGES = "project_id string, from_node string, to_node string"
@@ -32,3 +34,39 @@ def test_each_of_the_five_checks_fails_an_output(spark):
     failed = {r.output_id: {c for c in ("schema", "coverage", "language", "anchor", "relation") if not r[f"{c}_passed"]} for r in rows}
     assert failed == {"good": set()} | {c: {c} for c in ("schema", "coverage", "language", "anchor", "relation")}
     assert {r.output_id for r in rows if r.passed} == {"good"}
+
+
+@pytest.mark.parametrize(("most", "walked"), [(100, 100), (3, 100), (3, 4)])
+def test_pairs_are_linked_by_scope_component_and_rounds(spark, monkeypatch, most, walked):
+    monkeypatch.setattr(graph, "MOST_WALKED", walked)
+    rows = [("p", f"n{i}", f"n{i + 1}") for i in range(9)] + [("p", "n9", "n5"), ("p", "m0", "m1"), ("p", "m0", "m1"), ("q", "n3", "n0"), ("q", "n0", "m1")]
+    owned = [(s, f"f{n}", n) for s in "pq" for n in ("n0", "n3", "n5", "n9", "m0", "m1", "alone")] + [("p", "both", "n3"), ("p", "both", "alone"), ("p", "none", None)]
+    spec = "version_id string, project_id string, feature_id string, node_id string"
+    own = spark.createDataFrame([("v" + s, s, f, n) for s, f, n in owned] + [("vq", "q", "gone", "x")], spec)
+    names = sorted({f for _, f, _ in owned})
+    pairs = spark.createDataFrame([("v" + s, a, b) for s in "pq" for a in names for b in names], "version_id string, from_feature string, to_feature string")
+    nodes, ahead = {}, {}
+    for s, f, n in owned:
+        nodes.setdefault((s, f), set()).update([n] if n else [])
+    for s, a, b in rows:
+        ahead.setdefault((s, a), set()).add(b)
+
+    def after(s, found):
+        while more := {m for n in found for m in ahead.get((s, n), ())} - found:
+            found = found | more
+        return found
+
+    want = {("v" + s, a, b) for s in "pq" for a in names for b in names if after(s, nodes.get((s, a), set())) & nodes.get((s, b), set())}
+    edges = spark.createDataFrame(rows, EDGES)
+    monkeypatch.setattr(graph, "reach", graph.reach if most == 3 and walked == 4 else None)  # rounds are for huge components only
+    found = graph.linked(pairs, own, edges, ["version_id"], ["project_id"], most).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+def test_outputs_never_meet_all_nodes(spark):
+    outputs = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q"), ("d", "r")], "output_id string, project_id string")
+    nodes = spark.createDataFrame([("p", "n1"), ("p", "n1"), ("p", "n2"), ("q", None)], "project_id string, node_id string")
+    covered = spark.createDataFrame([("a", "n1"), ("a", "n2"), ("a", "n2"), ("a", "other"), ("b", "n1"), ("b", "n1"), ("b", "other"), ("c", None)], "output_id string, node_id string")
+    left = validate.incomplete(outputs, nodes, covered, ["output_id"], ["project_id"])
+    wanted = outputs.join(nodes, "project_id")
+    assert sorted(left.collect()) == sorted(validate.uncovered(wanted, covered, ["output_id"]).select("output_id").distinct().collect()) == [("b",), ("c",)]
