@@ -86,16 +86,16 @@ def linked(pairs: DataFrame, owned: DataFrame, edges: DataFrame, keys: list[str]
     large = checkpoint(sizes.where(F.col("n") > most).select(*scope))
     parts = huge = None
     if not large.isEmpty():
-        inside = lines.join(large, scope, "left_semi")
-        parts = components(inside.select(*scope, F.explode(F.array("from_node", "to_node")).alias("node_id")), inside, scope)
-        sized = inside.join(parts.withColumnRenamed("node_id", "from_node"), [*scope, "from_node"]).groupBy(*scope, "component").count()
-        huge = checkpoint(sized.where(F.col("count") > MOST_WALKED).select(*scope, "component"))
+        inside = checkpoint(lines.join(large, scope, "left_semi"))
+        parts, numbered = _numbered_components(inside, scope)
+        sized = numbered.groupBy("component").count()
+        huge = checkpoint(sized.where(F.col("count") > MOST_WALKED).select("component"))
     bins = max(1, total // PER_BIN)
 
     def placed(df: DataFrame, node: str) -> DataFrame:
         if parts is None:
             return df.withColumn("bin", F.pmod(F.hash(*scope), F.lit(bins)))
-        met = df.join(parts.withColumnRenamed("node_id", node), [*scope, node], "left").join(huge, [*scope, "component"], "left_anti")
+        met = df.join(parts.withColumnRenamed("node_id", node), [*scope, node], "left").join(huge, "component", "left_anti")
         return met.withColumn("bin", F.pmod(F.hash(*scope, "component"), F.lit(bins))).select(*df.columns, "bin")
 
     none = F.lit(None).cast("string")
@@ -115,7 +115,7 @@ def linked(pairs: DataFrame, owned: DataFrame, edges: DataFrame, keys: list[str]
 
     found = reduce(DataFrame.unionByName, rows).groupBy("bin").applyInPandas(run, ddl)
     if huge is not None and not huge.isEmpty():
-        inside = parts.join(huge, [*scope, "component"], "left_semi").select(*scope, "node_id")
+        inside = parts.join(huge, "component", "left_semi").select(*scope, "node_id")
         hard = begun.join(inside, [*scope, "node_id"], "left_semi").withColumnRenamed("node_id", "source")
         step = lines.join(inside.withColumnRenamed("node_id", "from_node"), [*scope, "from_node"], "left_semi")
         reached = reach(hard.select(*scope, "source", F.col("source").alias("node_id")), step, scope)
@@ -123,6 +123,18 @@ def linked(pairs: DataFrame, owned: DataFrame, edges: DataFrame, keys: list[str]
     return found.distinct()
 
 
+def _numbered_components(edges: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """scope..., node_id, component (a number), and the edges as numbers with their component: rounds move numbers, not texts."""
+    ids = checkpoint(edges.select(*scope, F.explode(F.array("from_node", "to_node")).alias("node_id")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    met = edges
+    for end in ("from", "to"):
+        met = met.join(ids.withColumnsRenamed({"node_id": f"{end}_node", "id": f"{end}_id"}), [*scope, f"{end}_node"])
+    links = checkpoint(met.select(F.col("from_id").alias("from_node"), F.col("to_id").alias("to_node")))
+    found = components(ids.select(F.col("id").alias("node_id")), links, [])
+    parts = checkpoint(ids.join(found.withColumnRenamed("node_id", "id"), "id").select(*scope, "node_id", "component"))
+    return parts, links.join(found.withColumnRenamed("node_id", "from_node"), "from_node")
+
+
 def joined_pairs(edges: list[tuple], starts: list[tuple], ends: list[tuple]) -> set[tuple]:
     """(key, from_feature, to_feature) of starts from which edges lead to a node of ends; each row is (scope, key, from_feature, to_feature, node, next node)."""
     ahead: dict[tuple, list[str]] = {}
