@@ -19,7 +19,7 @@ BAND = 8
 #: Edges of a connected component that one task walks.
 MOST_WALKED = 1_000_000
 #: Edges of a scope that goes to one task whole, and rows that a task gathers about.
-MOST_GATHERED = 100_000
+MOST_GATHERED = 300_000
 PER_BIN = 50_000
 
 
