@@ -99,6 +99,17 @@ def expanded(resolved: DataFrame, definitions: DataFrame, name: str = "name") ->
     return single.unionByName(many.withColumn("target", F.col("__node")).select(*resolved.columns))
 
 
+def _candidates(placed: DataFrame, definitions: DataFrame, keys: list[str], loops: bool) -> DataFrame:
+    """keys..., target, n of the calls that mean all definitions of their name, which lie in the partition of their name."""
+    many = placed.where(F.col("target").isNull()).groupBy(*keys).agg(F.count("*").alias("__calls"))
+    every = definitions.repartition("name").groupBy("name", F.col("node_id").alias("target")).agg(F.count("*").alias("__times"))
+    if loops:
+        met = many.join(every, "name")
+    else:  # the caller's text is made once, not for each pair
+        met = many.withColumn("__self", F.col("caller").cast("string")).join(every, "name").where(F.col("__self") != F.col("target"))
+    return met.select(*keys, "target", (F.col("__calls") * F.col("__times")).alias("n"))
+
+
 def counted(resolved: DataFrame, definitions: DataFrame, keys: list[str], loops: bool = True) -> DataFrame:
     """keys..., target, n: how often `expanded` has each, for keys that hold the name and the resolution.
 
@@ -107,25 +118,42 @@ def counted(resolved: DataFrame, definitions: DataFrame, keys: list[str], loops:
     """
     placed = resolved.repartition("name")
     single = placed.where(F.col("target").isNotNull()).groupBy(*keys, "target").agg(F.count("*").alias("n"))
-    many = placed.where(F.col("target").isNull()).groupBy(*keys).agg(F.count("*").alias("__calls"))
-    every = definitions.repartition("name").groupBy("name", F.col("node_id").alias("target")).agg(F.count("*").alias("__times"))
-    if not loops:  # the caller's text is made once, not for each pair
-        single, many = single.where(F.col("caller").cast("string") != F.col("target")), many.withColumn("__self", F.col("caller").cast("string"))
-    met = many.join(every, "name") if loops else many.join(every, "name").where(F.col("__self") != F.col("target"))
-    return single.unionByName(met.select(*keys, "target", (F.col("__calls") * F.col("__times")).alias("n")))
+    if not loops:
+        single = single.where(F.col("caller").cast("string") != F.col("target"))
+    return single.unionByName(_candidates(placed, definitions, keys, loops))
+
+
+def _families(definitions: DataFrame) -> DataFrame:
+    """node_id, family of the nodes that go by several names: those of the same names, each as often, are one family."""
+    names = definitions.where("name is not null and node_id is not null").groupBy("node_id", "name").agg(F.count("*").alias("times"))
+    digest = F.md5(F.concat_ws(" ", F.col("times").cast("string"), "name"))
+    halves = [F.bit_xor(F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint")).alias(f"h{at}") for at in (1, 16)]
+    return names.groupBy("node_id").agg(F.count("*").alias("of"), *halves).where("of > 1").select("node_id", F.struct("of", "h1", "h16").alias("family"))
 
 
 def edge_counts(resolved: DataFrame, definitions: DataFrame, aliases: DataFrame) -> DataFrame:
     """`call_edges` of all that calls mean, each once with n, how often it occurs.
 
-    Only if a node goes by several names, its own or imported ones, are the counts of its names to be added up.
+    A node that goes by several names, its own or imported ones, gets the sum over its names. Calls with one target are then
+    added up by it; calls that mean all candidates are added up by family (`_families`) before they get a row for each
+    node. Pairs with nodes of one name stay where they are, whatever other nodes have.
     """
-    found = counted(resolved, definitions, ["caller", "name", "resolution"], loops=False)
-    edges = found.select(F.col("caller").alias("from_node"), F.col("target").alias("to_node"), F.lit("calls").alias("type"), "resolution", "n")
+    def edges(found: DataFrame) -> DataFrame:
+        return found.select(F.col("caller").alias("from_node"), F.col("target").alias("to_node"), F.lit("calls").alias("type"), "resolution", "n")
+
+    keys = ["caller", "name", "resolution"]
     named = definitions.groupBy("node_id").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
     if named.isEmpty() and aliases.where("alias <> original").isEmpty():
-        return edges
-    return edges.groupBy(*[c for c in edges.columns if c != "n"]).agg(F.sum("n").alias("n"))
+        return edges(counted(resolved, definitions, keys, loops=False))
+    placed, other = resolved.repartition("name"), F.col("caller").cast("string") != F.col("target")
+    single = placed.where(F.col("target").isNotNull() & other).groupBy("caller", "target", "resolution").agg(F.count("*").alias("n"))
+    nodes = _families(definitions)
+    lone = _candidates(placed, definitions.join(nodes, "node_id", "left_anti"), keys, loops=False)
+    parts = definitions.join(nodes, "node_id").groupBy("node_id", "name", "family").agg(F.count("*").alias("__times")).select("name", "family", "__times").distinct()
+    many = placed.where(F.col("target").isNull()).groupBy(*keys).agg(F.count("*").alias("__calls")).join(parts, "name")
+    sums = many.groupBy("caller", "resolution", "family").agg(F.sum(F.col("__calls") * F.col("__times")).alias("n"))
+    several = sums.join(nodes.withColumnRenamed("node_id", "target"), "family").where(other)
+    return edges(single).unionByName(edges(lone)).unionByName(edges(several))
 
 
 def receivers(calls: DataFrame, definitions: DataFrame) -> DataFrame:

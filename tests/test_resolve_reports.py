@@ -68,6 +68,33 @@ def test_pairs_are_counted_without_being_moved(spark):
     assert "hashpartitioning(caller" not in plan and "target" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
 
 
+def test_nodes_of_several_names_move_no_pairs_of_others(spark):
+    n = 150
+    nodes = [(f"n{i}", "go", f"f{i}.py", "", i, "function") for i in range(n)]
+    more = [("n0", "also", "f0.py", "", n, "function"), ("n1", "also", "f1.py", "", n + 1, "function"), ("n1", "also", "f1.py", "", n + 2, "function"), (None, "go", "f.py", "", n + 3, "function"), ("n3", None, "f3.py", "", n + 4, "function")]
+    defs = spark.createDataFrame(nodes + more, DEFS)
+    rows = [(f"n{i}", "go", f"{x}.py", "") for i in range(n) for x in "xy"] + [(f"n{i}", "also", "x.py", "") for i in range(0, n, 3)] + [("n7", "mine", "m.py", ""), ("n7", "go", "f2.py", ""), ("n7", "go", "m.py", ""), (None, "go", "x.py", "")]
+    calls = spark.createDataFrame(rows, "caller string, name string, file string, package string")
+    by = ["from_node", "to_node", "type", "resolution"]
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    for named in (defs, defs.where("name = 'go'")):
+        for aliases in ([("m.py", "mine", "go")], [("m.py", "go", "go")]):
+            aliases = spark.createDataFrame(aliases, "file string, alias string, original string")
+            found = resolve.resolve(calls, named, aliases, strategy=F.expr("if(caller = 'n9', null, 'file')"))
+            expected = resolve.call_edges(resolve.expanded(found, named)).groupBy(*by).count().collect()
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+            before = moved()
+            edges = resolve.edge_counts(found, named, aliases).collect()
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+            assert sorted(edges) == sorted(expected) and len(edges) > n * (n - 2)
+            assert moved() - before < n * n / 2
+
+
 def test_receivers_and_bases(spark):
     rows = [("self", "a.py::A.f", "A"), ("A", "a.py::f", None), ("X", "a.py::f", None), ("odd", "a.py::f", None), (None, "a.py::f", None)]
     calls = spark.createDataFrame([(c, r, "run", "a.py", "", k) for r, c, k in rows] + [("b/c.py::g", "self", "run", "b/c.py", "b", "G"), ("b/c.py::g", "B", "gone", "b/c.py", "b", None)], "caller string, receiver string, method string, file string, package string, caller_class string")
